@@ -18,6 +18,11 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: ASCII letters and digits, and every byte of other characters.
+SOLID = np.zeros(256, bool)
+SOLID[48:58] = SOLID[65:91] = SOLID[97:123] = True
+SOLID[128:] = True
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WINDOW = np.uint64(0xD6E8FEB86659FD93)
 _powers = np.ones(1, np.uint64)
@@ -69,6 +74,15 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             low = high
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the capital letters U+00C0-U+00DE in lower case."""
+    out = LOWER[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    at = at[(data[at] <= 0x9E) & (data[at] != 0x97)]
+    out[at] += 0x20
+    return out
+
+
 class Words:
     """Maximal runs of bytes other than space and 0x09-0x0D: starts, ends, row of each and hash."""
 
@@ -105,6 +119,54 @@ class Words:
         return mix(np.add.reduceat(terms, self.starts - first))
 
 
+    def cores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each word without the punctuation around it, in lower case: hash, first and last byte, and whether any is left."""
+        n = len(self.data)
+        if not len(self.starts):
+            empty = np.zeros(0, np.int64)
+            return empty.astype(np.uint64), empty, empty, empty.astype(bool)
+        low = self.starts[0]
+        solid, at = SOLID[self.data[low:]], np.arange(low, n)
+        first = np.minimum.reduceat(np.where(solid, at, n), self.starts - low)
+        last = np.maximum.reduceat(np.where(solid, at, -1), self.starts - low)
+        span = np.diff(np.append(self.starts, n))
+        offset = at - np.repeat(first, span)
+        terms = (lower(self.data)[low:].astype(np.uint64) + np.uint64(1)) * powers(int(span.max()))[np.maximum(offset, 0)]
+        terms[(offset < 0) | (at > np.repeat(last, span))] = 0
+        return mix(np.add.reduceat(terms, self.starts - low)), first, last, last >= 0
+
+
+class Lookup:
+    """Positions of 64-bit hashes among fixed distinct keys, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        size = 1 << max(4, int(np.ceil(np.log2(4 * len(keys) + 1))))
+        self.mask = np.uint64(size - 1)
+        self.keys, self.place = np.zeros(size, np.uint64), np.full(size, -1, np.int64)
+        left, self.probes = np.arange(len(keys)), 0
+        while len(left):
+            slot = ((keys[left] + np.uint64(self.probes)) & self.mask).astype(np.int64)
+            _, one = np.unique(slot, return_index=True)
+            one = one[self.place[slot[one]] < 0]
+            self.keys[slot[one]], self.place[slot[one]] = keys[left[one]], left[one]
+            left = np.delete(left, one)
+            self.probes += 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, -1 where there is none."""
+        slot = (keys & self.mask).astype(np.int64)
+        out = self.place[slot]
+        left = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        for k in range(1, self.probes):
+            if not len(left):
+                break
+            slot = ((keys[left] + np.uint64(k)) & self.mask).astype(np.int64)
+            out[left] = self.place[slot]
+            left = left[(self.place[slot] >= 0) & (self.keys[slot] != keys[left])]
+        out[left] = -1
+        return out
+
+
 def windows(values: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``width`` neighbouring values within a row, and where each window starts."""
     n = len(values) - width + 1

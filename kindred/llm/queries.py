@@ -4,10 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import quality_rules
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from kindred.llm import byte_bpe, quality_rules, toxicity
 from kindred.llm.runtime import table
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with its worst sentence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    out = toxicity.score(docs, model, carry=["doc_id"])
+    return out.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id"), 4).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "n_sentences",
+        F.size("offending").alias("n_offending"),
+        F.col("worst.start").alias("worst_start"),
+        F.col("worst.end").alias("worst_end"),
+        F.col("worst.score").alias("worst_score"),
+    )
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of what they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), carry=["doc_id"], offsets=False, decoded=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the verdict of rules and hosts, for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -16,4 +44,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op9_quality_rules": op9_quality_rules}
+    return {"op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op9_quality_rules": op9_quality_rules}

@@ -11,8 +11,13 @@ import tempfile
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from kindred.llm.kernels import chunks
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,3 +68,31 @@ def without(docs: DataFrame, losers: DataFrame, id_col: str = "doc_id", text_col
     right = losers.select(F.col(id_col).alias("__loser_id"), F.col(ROW_KEY).alias("__loser_key"))
     on = left[id_col].eqNullSafe(right["__loser_id"]) & (left[ROW_KEY] == right["__loser_key"])
     return left.join(right, on, "left_anti").drop(ROW_KEY)
+
+
+TEXT = "__kindred_text"
+
+
+def map_texts(docs: DataFrame, text_col: str, carry: list[str], out: StructType, start, most: int = 2 << 20) -> DataFrame:
+    """``carry`` columns and the columns ``out``, made from whole texts a few megabytes at a time.
+
+    ``start()`` runs once in each task and returns a function of (bytes,
+    offsets) that gives an Arrow array for each field of ``out``.  A column of
+    ``docs`` whose name is one of ``out`` (case ignored) gives way to it.
+    """
+    names = {f.name.lower() for f in out}
+    cols = [c for c in carry if c.lower() not in names]
+    given = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text_col}`").alias(TEXT))
+
+    def run(batches):
+        work = start()
+        for batch, data, at in chunks(batches, TEXT, most):
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(cols))] + work(data, at), cols + out.names)
+
+    return given.mapInArrow(run, StructType(given.schema.fields[:-1] + out.fields))
+
+
+def binaries(data: bytes | np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column whose rows are neighbouring slices of ``data`` that end at ``ends``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
