@@ -119,12 +119,16 @@ class Words:
         return mix(np.add.reduceat(terms, self.starts - first))
 
 
-    def cores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each word without the punctuation around it, in lower case: hash, first and last byte, and whether any is left."""
+    def cores(self, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each word without the punctuation around it, in lower case: hash, first and last byte, and whether any is left.
+
+        With ``prefixes``, hashes are a matrix: the word, then its first so many bytes.
+        """
         n = len(self.data)
         if not len(self.starts):
             empty = np.zeros(0, np.int64)
-            return empty.astype(np.uint64), empty, empty, empty.astype(bool)
+            hashes = empty.astype(np.uint64)
+            return np.zeros((0, 1 + len(prefixes)), np.uint64) if prefixes else hashes, empty, empty, empty.astype(bool)
         low = self.starts[0]
         solid, at = SOLID[self.data[low:]], np.arange(low, n)
         first = np.minimum.reduceat(np.where(solid, at, n), self.starts - low)
@@ -133,7 +137,14 @@ class Words:
         offset = at - np.repeat(first, span)
         terms = (lower(self.data)[low:].astype(np.uint64) + np.uint64(1)) * powers(int(span.max()))[np.maximum(offset, 0)]
         terms[(offset < 0) | (at > np.repeat(last, span))] = 0
-        return mix(np.add.reduceat(terms, self.starts - low)), first, last, last >= 0
+        whole = mix(np.add.reduceat(terms, self.starts - low))
+        if prefixes:
+            columns = [whole]
+            for k in sorted(prefixes, reverse=True):
+                terms[offset >= k] = 0
+                columns.insert(1, mix(np.add.reduceat(terms, self.starts - low) + np.uint64(k)))
+            whole = np.stack(columns, 1)
+        return whole, first, last, last >= 0
 
 
 class Lookup:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kindred.llm import byte_bpe, quality_rules, toxicity
+from kindred.llm import byte_bpe, jaccard_join, quality_rules, toxicity
 from kindred.llm.runtime import table
 
 
@@ -36,6 +36,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy class and number of links of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_join(docs).select("doc_id", "class_id", "n_links")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the verdict of rules and hosts, for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -44,4 +50,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op9_quality_rules": op9_quality_rules}
+    return {"op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op7_jaccard_join": op7_jaccard_join, "op9_quality_rules": op9_quality_rules}

@@ -31,12 +31,21 @@ def held_out(doc_id: Column, parts: int, which: int = HELD_OUT) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == which
 
 
+#: A word's features are the word itself and its first so many bytes, which stand for its stem.
+PREFIXES = (4, 5, 6)
+PER_WORD = 1 + len(PREFIXES)
+
+
 class Sentences:
-    """Sentences of many texts: they end with a word whose last mark is . ! or ?, or at the end of a line."""
+    """Sentences of many texts: they end with a word whose last mark is . ! or ?, or at the end of a line.
+
+    ``feature`` has PER_WORD features for each word; ``first`` is the first
+    feature of each sentence.
+    """
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
         words = Words(data, at)
-        hashes, _, last, solid = words.cores()
+        hashes, _, last, _ = words.cores(PREFIXES)
         n = len(words)
         self.rows = words.rows
         if not n:
@@ -49,11 +58,12 @@ class Sentences:
         stop[:-1] |= lines[words.starts[1:]] > lines[words.ends[:-1]]
         new = np.ones(n, bool)
         new[1:] = stop[:-1] | (words.row[1:] != words.row[:-1])
-        self.feature = hashes
-        self.first = np.flatnonzero(new)  # first word of each sentence
-        self.row = words.row[self.first]
-        self.start = words.starts[self.first]
-        self.end = words.ends[np.append(self.first[1:], n) - 1]
+        first = np.flatnonzero(new)
+        self.feature = hashes.ravel()
+        self.first = first * PER_WORD
+        self.row = words.row[first]
+        self.start = words.starts[first]
+        self.end = words.ends[np.append(first[1:], n) - 1]
 
 
 @dataclass
@@ -72,39 +82,55 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def fit(feature: np.ndarray, sentence: np.ndarray, bag: np.ndarray, toxic: np.ndarray, least: int = 4, steps: int = 150, rate: float = 0.1, l2: float = 0.01) -> Model:
+def logistic(z: np.ndarray) -> np.ndarray:
+    return np.exp(-np.logaddexp(0, -z))
+
+
+def fit(feature: np.ndarray, sentence: np.ndarray, bag: np.ndarray, toxic: np.ndarray, least: int = 3, screen: float | None = None, steps: int = 150, rate: float = 0.1, l2: float = 0.01) -> Model:
     """Noisy-or training.  ``sentence``: first feature of each sentence; ``bag``: first sentence of each document.
 
-    Words in fewer than ``least`` documents have no weight.
+    A feature gets a weight if it is in ``least`` documents or more and the
+    share of toxic documents that have it differs from the share of others by
+    ``screen`` standard errors or more; if None, sqrt(2 ln(1 + toxic documents)).
     """
     y = toxic.astype(bool)
     if not len(feature) or y.all() or not y.any():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
     sizes = np.diff(np.append(sentence, len(feature)))
     docs = np.repeat(np.arange(len(bag)), np.diff(np.append(bag, len(sentence))))
-    keys, inverse = np.unique(feature, return_inverse=True)
-    pairs = np.unique(inverse * np.int64(len(bag)) + np.repeat(docs, sizes))
-    often = np.bincount(pairs // len(bag), minlength=len(keys)) >= least
-    place = np.cumsum(often) - 1
-    used = often[inverse]
-    f = place[inverse[used]]
+    cut = np.append(sentence[bag], len(feature))
+    have = []
+    for label in (True, False):
+        have.append(np.unique(np.concatenate([np.unique(feature[cut[i] : cut[i + 1]]) for i in np.flatnonzero(y == label)]), return_counts=True))
+    keys = np.union1d(have[0][0], have[1][0])
+    counts = np.zeros((2, len(keys)))
+    for k, (own, n) in enumerate(have):
+        counts[k, np.searchsorted(keys, own)] = n
+    total = np.array([[y.sum()], [(~y).sum()]])
+    pooled = np.clip(counts.sum(0) / total.sum(), 1e-9, 1 - 1e-9)
+    screen = np.sqrt(2 * np.log1p(y.sum())) if screen is None else screen
+    z = (counts[0] / total[0] - counts[1] / total[1]) / np.sqrt(pooled * (1 - pooled) * (1 / total).sum())
+    keys = keys[(counts.sum(0) >= least) & (np.abs(z) >= screen)]
+    place = Lookup(keys).find(feature)
+    used = np.flatnonzero(place >= 0)
+    f = place[used]
     owner = np.repeat(np.arange(len(sentence)), sizes)[used]
-    n = int(often.sum())
+    n = len(keys)
     w, b = np.zeros(n), -4.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
         z = np.bincount(owner, weights=w[f], minlength=len(sentence)) + b
         total = np.add.reduceat(softplus(z), bag)
         none = np.exp(-total)
-        slope = np.where(y, none / np.maximum(1 - none, 1e-9), -1.0)[docs] / (1 + np.exp(-z))
+        slope = np.where(y, none / np.maximum(1 - none, 1e-9), -1.0)[docs] * logistic(z)
         g = np.append(np.bincount(f, weights=slope[owner], minlength=n) - l2 * w, slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w + move[:-1], b + move[-1]
-    return Model(keys[often], w, float(b))
+    return Model(keys, w, float(b))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_docs: int = 4000, most_words: int = 8_000_000, parts: int = 4):
+def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_docs: int = 4000, most_words: int = 2_500_000, parts: int = 4):
     """Features of a bounded sample of labelled documents: at most ``most_docs`` of each label and ``most_words`` words.
 
     Documents are taken in the order of a hash of their ids, whole; rows of
@@ -124,7 +150,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
             ends = np.searchsorted(s.row, np.arange(s.rows), "right")
             sizes = np.diff(np.append(s.first, len(s.feature)))
             words = np.concatenate([[0], np.cumsum(sizes)])[ends]
-            return [binaries(s.feature, 8 * words), binaries(sizes, 8 * ends), pa.array(np.diff(words, prepend=0))]
+            return [binaries(s.feature, 8 * words), binaries(sizes, 8 * ends), pa.array(np.diff(words, prepend=0) // PER_WORD)]
 
         return work
 
@@ -162,7 +188,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
         def work(data, at):
             s = Sentences(data, at)
             z = own.sentence_logits(s)
-            p = 1 / (1 + np.exp(-z))
+            p = logistic(z)
             total = np.bincount(s.row, weights=softplus(z), minlength=s.rows)
             count = np.bincount(s.row, minlength=s.rows)
             bad = np.flatnonzero(p >= least)
