@@ -7,8 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kindred.llm import byte_bpe, jaccard_join, quality_rules, toxicity
-from kindred.llm.runtime import table
+from kindred.llm import byte_bpe, decontaminate, jaccard_join, quality_rules, token_files, toxicity
+from kindred.llm.runtime import fresh, table
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or with other values."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "n_windows", "item_windows", "coverage", "reparameterised")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the token files."""
+    folder = fresh(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_tokens(spark, folder)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,4 +64,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op7_jaccard_join": op7_jaccard_join, "op9_quality_rules": op9_quality_rules}
+    return {"op1_decontamination": op1_decontamination, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op7_jaccard_join": op7_jaccard_join, "op9_quality_rules": op9_quality_rules}
