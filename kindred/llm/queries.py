@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kindred.llm import byte_bpe, decontaminate, jaccard_join, quality_rules, token_files, toxicity
-from kindred.llm.runtime import fresh, table
+from kindred.llm import byte_bpe, chat, decontaminate, jaccard_join, quality_rules, token_files, toxicity, warc
+from kindred.llm.runtime import fresh, table, written
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the bundles."""
+    folder = fresh(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.read_warc(spark, folder)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copy class and number of links of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,5 +70,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "host_rejected", "kept")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted segments; -7 has texts that imitate marks."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    imitation = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", imitation), (-7, 1, "assistant", imitation)], turns.schema)
+    return chat.digests(written(chat.format_chat(turns.unionByName(more)), "chat"))
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op7_jaccard_join": op7_jaccard_join, "op9_quality_rules": op9_quality_rules}
+    """Name -> function of (spark, sf_dir)."""
+    named = [op1_decontamination, op2_token_files, op3_toxicity, op4_byte_bpe, op6_warc, op7_jaccard_join, op9_quality_rules, op10_chat]
+    return {f.__name__: f for f in named}
