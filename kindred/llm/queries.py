@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kindred.llm import byte_bpe, chat, decontaminate, jaccard_join, quality_rules, token_files, toxicity, warc
+from kindred.llm import byte_bpe, chat, decontaminate, jaccard_join, lattice, quality_rules, token_files, toxicity, warc
 from kindred.llm.runtime import fresh, table, written
 
 
@@ -63,6 +63,13 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(docs).select("doc_id", "class_id", "n_links")
 
 
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the lattice model and under word frequencies."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~toxicity.held_out(F.col("doc_id"), 7)).alias("train"))
+    out = lattice.score(docs, public_tokenizers.path("piece_bpe_32k.model"), "train")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the verdict of rules and hosts, for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -80,5 +87,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> function of (spark, sf_dir)."""
-    named = [op1_decontamination, op2_token_files, op3_toxicity, op4_byte_bpe, op6_warc, op7_jaccard_join, op9_quality_rules, op10_chat]
+    named = [op1_decontamination, op2_token_files, op3_toxicity, op4_byte_bpe, op6_warc, op7_jaccard_join, op8_lattice, op9_quality_rules, op10_chat]
     return {f.__name__: f for f in named}
