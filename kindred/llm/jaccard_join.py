@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from kindred.llm.kernels import Words, lower, mix, powers, windows
-from kindred.llm.runtime import ROW_KEY, binaries, fresh, map_texts, without, written
+from kindred.llm.kernels import Words, chunks, lower, mix, powers, windows
+from kindred.llm.runtime import ROW_KEY, TEXT, binaries, bounded, fresh, map_texts, without, written
 from kindred.operators.components import connected_components, forest
 
 WIDTH = 5
@@ -40,7 +40,7 @@ WIDTH = 5
 SIZE = 64
 _FACTORS = mix(np.arange(1, SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Sets up to which a bucket is compared whole, sets in a block of the signature and of the exact comparison.
-SMALL, BLOCK, EXACT_BLOCK = 48, 512, 256
+SMALL, BLOCK, EXACT_BLOCK = 48, 1024, 512
 #: Share of equal pairs on the next coordinate from which a bucket counts as alike.
 ALIKE = 0.5
 DEPTH = 12
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 
         return work
 
-    return map_texts(keyed, "text", ["id", ROW_KEY], out, start, 1 << 20)
+    return map_texts(keyed, "text", ["id", ROW_KEY], out, start)
 
 
 def choose(path: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +203,11 @@ def nominate(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     nodes = sets.mapInArrow(_roots(runs, threshold), "path long, set_id long")
     found = []
     for level in range(DEPTH):
-        sizes = written(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path-sizes")
+        hashed = [F.bit_xor(F.xxhash64("set_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+        sizes = written(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), *hashed).filter("n > 1"), "path-sizes")
+        # Buckets of the same few sets, as most runs give them, are compared once.
+        once = sizes.filter(F.col("n") <= SMALL).groupBy("n", "x1", "x2").agg(F.min("path").alias("path")).select("path", "n")
+        sizes = written(once.unionByName(sizes.filter(F.col("n") > SMALL).select("path", "n")), "path-sizes")
         live = written(nodes.join(sizes, "path"), "paths")
         small = live.filter(F.col("n") <= SMALL).join(sets, "set_id").select("path", "set_id", "signature")
         found.append(small.repartition("path").sortWithinPartitions("path").mapInArrow(_compare_small(least), "a long, b long"))
@@ -261,6 +265,38 @@ def _verify(threshold: float):
     return run
 
 
+#: log2 of the bits of the filter that is broadcast: 4 MB, whatever the number of members.
+FILTER_BITS = 25
+
+
+def member_filter(members: DataFrame) -> np.ndarray:
+    """Bits of a filter that every member's text passes; other texts pass the less, the fewer members there are."""
+    bit = F.shiftrightunsigned(F.col(ROW_KEY), 64 - FILTER_BITS)
+    words = members.select((F.shiftright(bit, 6)).alias("word"), (bit % 64).cast("int").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()  # 2^FILTER_BITS / 64 rows at most
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool) if rows.num_rows else np.zeros(1 << FILTER_BITS, bool)
+
+
+def member_shingles(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(text_id, text_key, shingles) of the rows of ``docs`` that pass the filter: all that members need."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(member_filter(members), bitorder="little"))
+    texts = docs.select(F.col(id_col).alias("text_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias(TEXT))
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            key = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            passed = (bits[(key >> np.uint64(3)).astype(np.int64)] >> (key & np.uint64(7)).astype(np.uint8)) & 1
+            for part, data, at in chunks([batch.filter(pa.array(passed == 1))], TEXT):
+                grams, _, ends, _ = shingles(data, at, width)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binaries(grams, 8 * ends)], ["text_id", "text_key", "shingles"])
+
+    kind = texts.schema["text_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"text_id {kind}, text_key long, shingles binary")
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.999, width: int = WIDTH) -> DataFrame:
     """(id, ROW_KEY, class_id, class_key, n_links) for each row of ``docs``.
 
@@ -269,6 +305,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     connect, with ``class_key`` the hash of that row's text.
     """
     spark = docs.sparkSession
+    bounded(spark)
     rows = written(signatures(docs, id_col, text_col, width), "signatures")
     named = F.struct(F.col("id"), F.col(ROW_KEY).alias("key"))
     classes = written(rows.groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.min(named).alias("first"), F.first("signature").alias("signature")), "classes")
@@ -277,18 +314,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = written(near.select(F.col("node").alias("set_id"), "component"), "nominees")
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = written(near.join(sizes, "component").join(classes.select("set_id", "copies", "first"), "set_id").select("component", "n", "set_id", "copies", F.col("first.id").alias("id"), F.col("first.key").alias(ROW_KEY)), "members")
-    texts = docs.select(F.col(id_col).alias("text_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
-    held = texts.join(members, texts["text_id"].eqNullSafe(members["id"]) & (texts["text_key"] == members[ROW_KEY])).select("component", "n", "set_id", "copies", "text")
-
-    def start():
-        def work(data, at):
-            grams, _, ends, _ = shingles(data, at, width)
-            return [binaries(grams, 8 * ends)]
-
-        return work
-
-    held = map_texts(held, "text", ["component", "n", "set_id", "copies"], StructType([StructField("shingles", BinaryType())]), start)
-    held = written(held, "member-shingles").dropDuplicates(["set_id"])
+    sketches = member_shingles(docs, members, id_col, text_col, width)
+    held = sketches.join(members, sketches["text_id"].eqNullSafe(members["id"]) & (sketches["text_key"] == members[ROW_KEY])).select("component", "n", "set_id", "copies", "shingles")
+    held = written(held.dropDuplicates(["set_id"]), "member-shingles")
     checked = _blocked(held, "component", "n", EXACT_BLOCK).groupBy("component", "i", "j").applyInArrow(_verify(threshold), "set_id long, other long, links long")
     checked = written(checked, "links")
     roots = connected_components(checked.filter("other is not null").select("set_id", "other"), fresh(spark, "classes"))

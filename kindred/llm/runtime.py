@@ -71,15 +71,25 @@ def without(docs: DataFrame, losers: DataFrame, id_col: str = "doc_id", text_col
 
 
 TEXT = "__kindred_text"
+#: Bytes of text that a worker works through at a time, and bytes of a batch that it is sent.
+CHUNK, BATCH = 512 << 10, 8 << 20
 
 
-def map_texts(docs: DataFrame, text_col: str, carry: list[str], out: StructType, start, most: int = 2 << 20) -> DataFrame:
+def bounded(spark: SparkSession) -> None:
+    """Holds the bytes of a batch for Python to BATCH, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(BATCH))
+
+
+def map_texts(docs: DataFrame, text_col: str, carry: list[str], out: StructType, start, most: int = CHUNK) -> DataFrame:
     """``carry`` columns and the columns ``out``, made from whole texts a few megabytes at a time.
 
     ``start()`` runs once in each task and returns a function of (bytes,
     offsets) that gives an Arrow array for each field of ``out``.  A column of
     ``docs`` whose name is one of ``out`` (case ignored) gives way to it.
     """
+    bounded(docs.sparkSession)
     names = {f.name.lower() for f in out}
     cols = [c for c in carry if c.lower() not in names]
     given = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text_col}`").alias(TEXT))
