@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kindred.llm import byte_bpe, chat, decontaminate, jaccard_join, lattice, quality_rules, token_files, toxicity, warc
+from kindred.llm import byte_bpe, chat, decontaminate, importance, jaccard_join, lattice, quality_rules, token_files, toxicity, warc
 from kindred.llm.runtime import fresh, table, written
 
 
@@ -50,6 +50,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document against those labelled good, and whether it is in the sample."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = importance.resample(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_grams", "log_weight", "noisy_weight", "kept")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, read back from the bundles."""
     folder = fresh(spark, "warc")
@@ -87,5 +94,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> function of (spark, sf_dir)."""
-    named = [op1_decontamination, op2_token_files, op3_toxicity, op4_byte_bpe, op6_warc, op7_jaccard_join, op8_lattice, op9_quality_rules, op10_chat]
+    named = [op1_decontamination, op2_token_files, op3_toxicity, op4_byte_bpe, op5_importance, op6_warc, op7_jaccard_join, op8_lattice, op9_quality_rules, op10_chat]
     return {f.__name__: f for f in named}
