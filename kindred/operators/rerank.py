@@ -21,7 +21,7 @@ class Scorer(Protocol):
 
 
 class OverlapScorer:
-    """Jaccard similarity of the sets of words; NaN where neither text has any."""
+    """Jaccard similarity of the sets of words; NaN (null in a column) where neither text has any."""
 
     def score(self, query: str, document: str) -> float:
         a, b = (set(re.findall(r"[a-z0-9_\u0080-\U0010ffff]+", (x or "").lower())) for x in (query, document))
