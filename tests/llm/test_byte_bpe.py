@@ -13,7 +13,7 @@ from tests.llm.cases import awkward, none
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS = byte_bpe.read_ranks(PATH)
-CODEC = byte_bpe.Codec(RANKS, 50)  # so few pieces that generations change
+CODEC = byte_bpe.Codec(RANKS, 50)  # so few pieces that the cache starts anew
 OTHER = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
@@ -70,4 +70,4 @@ def test_query(spark, sf_dir):
 
 def test_missing_rank_is_an_error():
     with pytest.raises(KeyError):
-        byte_bpe.Merger({b"a": 0})[b"b"]
+        byte_bpe.Merger({b"a": 0})([b"b"])
