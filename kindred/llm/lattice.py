@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.kernels import LOWER, Lookup, Words, chunks, mix, powers
-from kindred.llm.runtime import TEXT, written
+from kindred.llm.runtime import TEXT, bounded, written
 
 #: Most words that are broadcast (24 bytes each, and a table of four times as many places).
 HEAD = 1 << 20
@@ -137,14 +137,15 @@ class Vocabulary:
         return alpha[first + size + np.arange(len(words))]
 
 
-def count_words(docs: DataFrame, text_col: str, train_col: str, most: int = 600_000) -> DataFrame:
+def count_words(docs: DataFrame, text_col: str, train_col: str, most: int = 300_000) -> DataFrame:
     """(word, c, a): occurrences of each word in training documents and in all."""
+    low_bits = (1 << 40) - 1
 
     def run(batches):
-        held: dict[bytes, list[int]] = {}
+        held: dict[bytes, int] = {}  # occurrences in training documents, shifted, plus those in all
 
         def flush():
-            columns = [pa.array(held.keys(), pa.binary()).cast(pa.string())] + [pa.array([x[k] for x in held.values()], pa.int64()) for k in (0, 1)]
+            columns = [pa.array(held.keys(), pa.binary()).cast(pa.string())] + [pa.array([x >> 40 for x in held.values()], pa.int64()), pa.array([x & low_bits for x in held.values()], pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["word", "c", "a"])
 
         for batch, data, at in chunks(batches, TEXT):
@@ -155,12 +156,8 @@ def count_words(docs: DataFrame, text_col: str, train_col: str, most: int = 600_
             known = np.bincount(inverse, weights=train, minlength=len(count)).astype(np.int64)
             raw = low.tobytes()
             for a, b, c, n in zip(words.starts[where].tolist(), words.ends[where].tolist(), known.tolist(), count.tolist(), strict=True):
-                got = held.get(word := raw[a:b])
-                if got is None:
-                    held[word] = [c, n]
-                else:
-                    got[0] += c
-                    got[1] += n
+                word = raw[a:b]
+                held[word] = held.get(word, 0) + (c << 40) + n
             if len(held) > most:
                 yield flush()
                 held.clear()
@@ -218,6 +215,7 @@ def score(docs: DataFrame, model_path: str, train_col: str, id_col: str = "doc_i
 
     ``train_col`` (boolean) marks the rows to learn from.
     """
+    bounded(docs.sparkSession)
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
         model = f.read()
