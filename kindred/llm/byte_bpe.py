@@ -5,7 +5,7 @@ can see ahead of it, is a function from automaton states to automaton states;
 functions compose associatively, so the states at block starts come from a
 prefix scan over blocks, and the boundaries of pieces from the states.  No
 regular expression runs.  Pieces are merged by rank once for each distinct
-piece in a task's cache and looked up from then on.
+piece in a worker's cache and looked up, many at a time, from then on.
 
 Defined cases: a null or empty text has no tokens and decodes to nothing;
 repeated rows each get their own result; a piece of any length is merged in
@@ -18,12 +18,14 @@ import base64
 import heapq
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from kindred.llm.kernels import SliceCache
 from kindred.llm.runtime import binaries, map_texts
 
 # Symbols: what a character is, given the characters after it.
@@ -157,23 +159,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class Merger(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers; merges what it hasn't seen.
+class Merger:
+    """Pair merging by rank."""
 
-    At ``most`` pieces it starts anew, which bounds its memory.
-    """
-
-    def __init__(self, ranks: dict[bytes, int], most: int = 400_000):
-        super().__init__()
-        self.ranks, self.most = ranks, most
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
 
-    def __missing__(self, piece: bytes) -> bytes:
-        ids = np.array(self.merge(piece), "<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has."""
+        merged = [self.merge(p) for p in pieces]
+        n = np.fromiter(map(len, merged), np.int64, len(merged))
+        return np.fromiter(chain.from_iterable(merged), "<u4", int(n.sum())), n
 
     def merge(self, piece: bytes) -> list[int]:
         """Joins the neighbours of lowest rank, the leftmost first, until no join has a rank."""
@@ -218,8 +214,8 @@ class Merger(dict):
 class Codec:
     """Encodes and decodes many texts at once."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 400_000):
-        self.cache = Merger(ranks, most)
+    def __init__(self, ranks: dict[bytes, int], most: int = 600_000):
+        self.merger, self.cache = Merger(ranks), SliceCache(np.dtype("<u4"), most)
         size = max(ranks.values()) + 1
         self.length = np.zeros(size, np.int64)
         tokens = [b""] * size
@@ -232,11 +228,10 @@ class Codec:
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many ids come before the end of each text."""
         starts = split_points(data, at)
-        raw = data.tobytes()
-        cuts = starts.tolist()
-        found = list(map(self.cache.__getitem__, [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)] if cuts else []))
-        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
-        return np.frombuffer(b"".join(found), "<u4"), sizes[np.searchsorted(starts, at[1:], "left")]
+        store, first, length = self.cache.ids_of(data, starts, self.merger)
+        before = np.concatenate([[0], np.cumsum(length)])
+        ids = store[np.arange(before[-1]) + np.repeat(first - before[:-1], length)]
+        return ids, before[np.searchsorted(starts, at[1:])]
 
     def starts(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Byte offset of each token in its own text."""

@@ -61,7 +61,7 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 512 << 10) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of at most ``most`` bytes of text (one row at least), with bytes and offsets."""
     for batch in batches:
         if not batch.num_rows:
@@ -178,6 +178,98 @@ class Lookup:
         return out
 
 
+class SliceCache:
+    """Token ids of byte slices, found for many slices at once.
+
+    Slices are told apart by a 64-bit hash together with their length and first
+    seven bytes.  The table holds ``most`` slices (of one batch, if that has
+    more) and starts anew when full; slices over LONGEST bytes aren't kept.
+    """
+
+    LONGEST = 64
+
+    def __init__(self, dtype: np.dtype, most: int):
+        self.most, self.dtype = most, dtype
+        self.clear()
+
+    def clear(self, least: int = 0) -> None:
+        self.most = max(self.most, least)
+        self.size = 1 << int(np.ceil(np.log2(2 * self.most + 2)))
+        self.keys, self.heads = np.zeros(self.size, np.uint64), np.zeros(self.size, np.uint64)
+        self.entry = np.full(self.size, -1, np.int32)
+        self.n, self.used = 0, 0
+        self.first, self.length = np.zeros(self.most, np.int64), np.zeros(self.most, np.int32)
+        self.ids = np.zeros(4096, self.dtype)
+
+    def ids_of(self, data: np.ndarray, cuts: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the neighbouring slices of ``data`` that start at ``cuts``, as (ids, first, length).
+
+        The ids of slice i are ``ids[first[i] : first[i] + length[i]]``.  What
+        isn't known goes to ``encode``, which takes a list of slices and
+        returns their ids one after another and the number of each.
+        """
+        first, length = np.zeros(len(cuts), np.int64), np.zeros(len(cuts), np.int64)
+        if not len(cuts):
+            return self.ids[:0], first, length
+        span = np.diff(np.append(cuts, len(data)))
+        offset = np.arange(len(data)) - np.repeat(cuts, span)
+        key = mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers(int(span.max()))[offset], cuts))
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        head = span.astype(np.uint64) << np.uint64(56)
+        for j in range(7):
+            head |= np.where(span > j, padded[cuts + j], 0).astype(np.uint64) << np.uint64(8 * j)
+        raw = data.tobytes()
+        slices = lambda which: [raw[a : a + b] for a, b in zip(cuts[which].tolist(), span[which].tolist(), strict=True)]
+        short = span <= self.LONGEST
+        entry = np.full(len(cuts), -1, np.int64)
+        entry[short] = self.find(key[short], head[short])
+        miss = np.flatnonzero(short & (entry < 0))
+        _, one, back = np.unique(key[miss], return_index=True, return_inverse=True)
+        if self.n + len(one) > self.most:
+            self.clear(len(cuts))
+            miss = np.flatnonzero(short)
+            _, one, back = np.unique(key[miss], return_index=True, return_inverse=True)
+        if len(miss):
+            new = miss[one]
+            entry[miss] = self.add(key[new], head[new], *encode(slices(new)))[back]
+        first[short], length[short] = self.first[entry[short]], self.length[entry[short]]
+        store, rest = self.ids[: self.used], np.flatnonzero(~short)
+        if len(rest):
+            ids, many = encode(slices(rest))
+            first[rest], length[rest] = len(store) + np.cumsum(many) - many, many
+            store = np.concatenate([store, ids])
+        return store, first, length
+
+    def find(self, key: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Entry of each slice, -1 where there is none."""
+        out = np.full(len(key), -1, np.int64)
+        left, step = np.arange(len(key)), 0
+        while len(left):
+            slot = ((key[left] + np.uint64(step)) & np.uint64(self.size - 1)).astype(np.int64)
+            got = self.entry[slot]
+            same = (self.keys[slot] == key[left]) & (self.heads[slot] == head[left]) & (got >= 0)
+            out[left[same]] = got[same]
+            left, step = left[(got >= 0) & ~same], step + 1
+        return out
+
+    def add(self, key: np.ndarray, head: np.ndarray, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Entries of distinct new slices with their ids one after another."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        made = np.arange(self.n, self.n + len(key))
+        self.first[made], self.length[made] = self.used + np.cumsum(length) - length, length
+        left, step = np.arange(len(key)), 0
+        while len(left):
+            slot = ((key[left] + np.uint64(step)) & np.uint64(self.size - 1)).astype(np.int64)
+            _, one = np.unique(slot, return_index=True)
+            one = one[self.entry[slot[one]] < 0]
+            self.keys[slot[one]], self.heads[slot[one]], self.entry[slot[one]] = key[left[one]], head[left[one]], made[left[one]]
+            left, step = np.delete(left, one), step + 1
+        self.n, self.used = self.n + len(key), self.used + len(ids)
+        return made
+
+
 def windows(values: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``width`` neighbouring values within a row, and where each window starts."""
     n = len(values) - width + 1
