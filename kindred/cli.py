@@ -11,7 +11,7 @@ import shutil
 import sys
 from pathlib import Path
 
-from kindred import __version__, state
+from kindred import __version__, backends, state
 from kindred.config import NAMES, SECTION, RunConfig, load_config, merge
 from kindred.operators.clusters import SORTS
 from kindred.report import collect, format_of, report
@@ -48,15 +48,10 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def status() -> str:
-    """Backends by purpose.  Models are plugged in through code; nothing is downloaded."""
-    return "embedding: hashing-256 (built in)\nreranker: word overlap (built in)\nanalyzer: template (built in)"
-
-
 def main(args: list[str] | None = None, spark=None, out=print) -> int:
     a = parser().parse_args(args)
     if a.model_status:
-        out(status())
+        out(backends.status())
         return 0
     root = Path(a.path or ".")
     if a.path is not None and not root.is_dir():
@@ -79,13 +74,14 @@ def main(args: list[str] | None = None, spark=None, out=print) -> int:
     try:
         config: RunConfig = merge(load_config(root, tuple(a.config_names), a.config_section), vars(a))
         kind = format_of(config.output)
-    except ValueError as e:
+        chosen = {"scorer": backends.get("reranker", config.rerank_model), "generator": backends.get("llm", config.llm_model)}
+    except (ValueError, FileNotFoundError) as e:
         out(str(e))
         return 1
-    return analyse(root, config, kind, spark, out)
+    return analyse(root, config, kind, chosen, spark, out)
 
 
-def analyse(root: Path, config: RunConfig, kind: str, spark, out) -> int:
+def analyse(root: Path, config: RunConfig, kind: str, chosen: dict, spark, out) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
@@ -108,7 +104,7 @@ def analyse(root: Path, config: RunConfig, kind: str, spark, out) -> int:
 
     cache = VectorCache(spark, (root / state.FOLDER / "vectors").resolve().as_uri())
     try:
-        result = run(spark, project, config, cache=cache, known=known, progress=progress)
+        result = run(spark, project, config, cache=cache, known=known, progress=progress, **chosen)
     except Exception as e:
         now.last_error = str(e)
         state.save_state(root, now)

@@ -132,8 +132,11 @@ def merge(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.join(new.select("cluster_id"), "cluster_id", "left_anti").unionByName(new)
 
 
-def analyze(members: DataFrame, generator: Generator | None = None) -> tuple[DataFrame, DataFrame]:
-    """(analyses: cluster_id and the fields of ANALYSIS; failed: cluster_id)."""
+def analyze(members: DataFrame, generator: Generator | None = None, parallel: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(analyses: cluster_id and the fields of ANALYSIS; failed: cluster_id).
+
+    ``parallel``: tasks that the prompts are dealt to; 0 leaves that to Spark.
+    """
     generator = generator or TemplateGenerator()
 
     @F.pandas_udf(StringType())
@@ -141,6 +144,8 @@ def analyze(members: DataFrame, generator: Generator | None = None) -> tuple[Dat
         for batch in batches:
             yield batch.map(generator.generate)
 
-    answers = parse(prompts(members).withColumn("output", generate("prompt")))
+    asked = prompts(members)
+    asked = asked.repartition(parallel, "cluster_id") if parallel > 0 else asked
+    answers = parse(asked.withColumn("output", generate("prompt")))
     good = F.col("analysis.commonality").isNotNull()
     return answers.filter(good).select("cluster_id", "analysis.*"), answers.filter(~good).select("cluster_id")

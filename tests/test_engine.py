@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred import cli, config, report, state
+from kindred import backends, cli, config, report, schema, state
 from kindred.operators import analyze, embed, rerank
+from kindred.plans import engine
 from kindred.shared import shared_dir
 from kindred.streaming.incremental import embed_stream, file_stream
 
@@ -113,6 +114,31 @@ def test_command_line(spark, project):
     assert cli.main(["--model-status"], spark, said.append) == 0
 
 
+def test_backends(tmp_path):
+    assert isinstance(backends.get("embedding"), embed.HashingEmbedder)
+    backends.register(backends.Backend("llm", "filed", lambda path: path, needs=str(tmp_path / "model")))
+    try:
+        assert [b.name for b in backends.missing()] == ["filed"] and "needs" in backends.status()
+        with pytest.raises(FileNotFoundError):
+            backends.get("llm", "filed")
+        (tmp_path / "model").write_text("x")
+        assert backends.get("llm", "filed") == str(tmp_path / "model") and backends.get("llm", "filed:/other") == "/other"
+    finally:
+        del backends._known["llm", "filed"]
+    with pytest.raises(ValueError, match="no reranker"):
+        backends.get("reranker", "x")
+
+
+def test_schemas(spark, project):
+    seen: list = []
+    result = engine.run(spark, str(project), config.RunConfig(threshold=0.7, analyze=True, parallel=2), on_analysis=lambda k, a: seen.append(k))
+    assert schema.conforms(result.chunks, schema.CHUNK) and schema.conforms(result.members, schema.MEMBER)
+    assert schema.conforms(result.clusters, schema.CLUSTER) and schema.conforms(result.analyses, schema.ANALYSIS)
+    assert schema.conforms(result.rerank_stats, schema.RERANK_STATS)
+    assert sorted(seen) == sorted(r[0] for r in result.analyses.select("cluster_id").collect()) and seen
+    assert report.report_frame(result.clusters, result.members, result.analyses).count() == result.clusters.count()
+
+
 def test_report_escapes():
     member = {"cluster_id": 1, "member_idx": 0, "file_path": "<a>|b", "start_line": 1, "end_line": 2, "chunk_type": "block", "name": None, "content": "<script>\n```", "language": "c"}
     row = {"cluster_id": 1, "similarity": 0.125, "file_count": 1, "size": 2, "total_lines": 1234, "members": [member, member], "representative": member, "analysis": None}
