@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import vectors as V
+from kindred.operators.numbering import number_rows
 
 SORTS = ("severity", "lines", "files", "similarity", "quick-wins")
 
@@ -39,8 +40,8 @@ def cluster_stats(members: DataFrame, cluster: str = "cluster_id", min_size: int
 
 
 def renumber(clusters: DataFrame, similarity: str = "similarity", first: str = "first_member") -> DataFrame:
-    """``cluster_id`` 1..k by falling similarity, then by first member.  Clusters are few beside members; one task numbers them."""
-    return clusters.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc(similarity), F.asc(first))).cast("long"))
+    """``cluster_id`` 1..k by falling similarity, then by first member."""
+    return number_rows(clusters, [F.desc(similarity), F.asc(first)], "cluster_id")
 
 
 def severity(similarity: Column, lines: Column, files: Column, complexity: Column, worth: Column) -> Column:
@@ -71,7 +72,7 @@ def rank(clusters: DataFrame, analyses: DataFrame | None = None, sort_by: str =
         "quick-wins": quick_wins(c("similarity"), c("total_lines"), c("complexity"), c("worth_refactoring")),
     }.get(sort_by, F.lit(0.0))
     joined = joined.withColumn("rank_score", score)
-    return joined.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rank_score"), F.asc("cluster_id"))).cast("long"))
+    return number_rows(joined, [F.desc("rank_score"), F.asc("cluster_id")], "position")
 
 
 def rerank_keep(scored: DataFrame, threshold: float = 0.5, cluster: str = "cluster_id", member: str = "member_idx", score: str = "score") -> DataFrame:

@@ -1,8 +1,11 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from kindred.operators import clusters
 from kindred.operators.components import connected_components, forest
+from kindred.operators.numbering import number_rows
 from kindred.operators.similarity import average_linkage, cluster_vectors, similar_pairs
 from kindred.shared import shared_dir
 
@@ -134,3 +137,10 @@ def test_ranking(spark):
     assert order("quick-wins") == sorted(quick, key=lambda k: -quick[k])
     assert order("lines") == [3, 1, 4, 2] and order("files") == [2, 1, 4, 3] and order("similarity") == [3, 4, 1, 2]
     assert order("nothing") == [1, 2, 3, 4] == order("unknown", None)
+
+
+def test_numbering(spark):
+    rows = spark.createDataFrame([(i * 37 % 501, i) for i in range(501)], "a int, b int").repartition(7)
+    got = number_rows(rows, [F.desc("a"), F.asc("b")], "n").collect()
+    assert [(r["n"], r["a"]) for r in sorted(got, key=lambda r: r["n"])] == [(k + 1, 500 - k) for k in range(501)]
+    assert number_rows(rows.filter("false"), [F.asc("a")], "n").count() == 0
