@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.kernels import Lookup, Words, chunks, mix, windows
-from kindred.llm.runtime import ROW_KEY, TEXT, without, written
+from kindred.llm.runtime import ROW_KEY, TEXT, bounded, without, written
 
 WINDOW = 8
 LITERALS = 4
-#: Share of an item's windows from which a document counts as contaminated.
-COVERAGE = 0.25
+#: Share of an item's windows from which a document counts as contaminated, and number of windows (6: 13 tokens in a row) that is enough for any item.
+COVERAGE, ENOUGH = 0.25, 6
 #: Most distinct benchmark windows that are broadcast (8 bytes each); beyond it all windows are shuffled to the join.
 MOST_BROADCAST = 4_000_000
 LITERAL, NUMBER, NAME, UNIT = range(4)
@@ -131,11 +131,12 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, widths: list[i
     return given.mapInArrow(run, f"id {kind}, {ROW_KEY} long, {SCHEMA}")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WINDOW, coverage: float = COVERAGE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WINDOW, coverage: float = COVERAGE, enough: int = ENOUGH, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(id, ROW_KEY, item, n_windows, item_windows, coverage, reparameterised) of each document and item it holds.
 
     ``reparameterised``: some slot is filled with another value than in the item.
     """
+    bounded(docs.sparkSession)
     items = written(item_windows(benchmark, item_col, item_text, width), "item-windows")
     shape = items.agg(F.countDistinct("hash").alias("n"), F.collect_set("width").alias("widths")).first()
     small = shape["n"] <= most_broadcast
@@ -158,7 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     totals = items.groupBy("item").agg(F.count(F.lit(1)).alias("item_windows"))
     same = by_item.join((F.broadcast(totals) if small else totals).withColumnRenamed("item", "__item"), F.col("item").eqNullSafe(F.col("__item")))
-    same = same.withColumn("coverage", F.col("n_windows") / F.col("item_windows")).filter(F.col("coverage") >= coverage)
+    same = same.withColumn("coverage", F.col("n_windows") / F.col("item_windows")).filter((F.col("coverage") >= coverage) | (F.col("n_windows") >= enough))
     return same.select(F.col("id").alias(id_col), ROW_KEY, F.col("item").alias(item_col), "n_windows", "item_windows", "coverage", "reparameterised")
 
 

@@ -33,6 +33,14 @@ def test_slots(spark):
     assert {r["doc_id"] for r in D.keep(docs, items).collect()} == {3, 4, 5, 6}
 
 
+def test_part_of_a_long_item(spark):
+    words = [f"word{i}" for i in range(90)]
+    docs = spark.createDataFrame([(1, "before " + " ".join(words[30:43]) + " after"), (2, "before " + " ".join(words[30:41]) + " after")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words).replace("word", "alpha").translate(str.maketrans("0123456789", "abcdefghij")))], "item_id long, text string")
+    docs = docs.selectExpr("doc_id", "translate(replace(text, 'word', 'alpha'), '0123456789', 'abcdefghij') AS text")
+    assert [r["doc_id"] for r in D.contaminated(docs, items).collect()] == [1]
+
+
 def test_short_item(spark):
     docs = spark.createDataFrame([(1, "so what is the capital of norway today"), (2, CLEAN)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "what is the capital of norway")], "item_id long, text string")
