@@ -7,15 +7,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import globs, text, vectors
 from kindred.operators import analyze, clusters, embed, rerank, similarity, windows
 from kindred.operators.components import connected_components
-from kindred.shared import shared_dir, table
+from kindred.shared import shared_dir, table, written
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,11 +374,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of similar documents: embedding, similarity join, average linkage, facts, order."""
     docs = table(spark, sf_dir, "documents")
     embedded = embed.embed(docs.select(F.col("doc_id").alias("key"), F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.size(text.lines(F.col("text"))).alias("end_line"), text.embedding_text(F.col("lang"), F.lit("block"), F.lit(None).cast("string"), F.col("text")).alias("embed_text")), "embed_text")
-    path = f"{shared_dir(spark)}/flagship-{uuid.uuid4().hex}"
-    embedded.write.parquet(path)
-    vecs = spark.read.parquet(path)
+    vecs = written(embedded, "flagship-vectors")
     members = similarity.cluster_vectors(vecs, shared_dir(spark), 0.80).join(vecs, "key")
     members = members.withColumn("member_idx", F.row_number().over(Window.partitionBy("cluster").orderBy("key")).cast("long") - 1)
+    members = written(members, "flagship-members")
     facts = clusters.cluster_stats(members, "cluster").join(clusters.mean_similarity(members, "cluster").drop("n"), "cluster")
     facts = facts.join(clusters.medoids(members, "cluster").select("cluster", F.col("member_idx").alias("representative")), "cluster")
     return clusters.renumber(facts.withColumn("first_member", F.col("cluster"))).select("cluster_id", F.round("similarity", 4).alias("similarity"), "size", "file_count", "total_lines", "representative", "first_member")
