@@ -1,7 +1,8 @@
 """Language-model scoring by subword lattices.
 
 The pieces are those of an existing vocabulary; their probabilities come from
-the training documents.  A word's probability is the sum over all its
+the training documents, by expectation maximisation over all segmentations of
+the distinct training words.  A word's probability is the sum over all its
 segmentations into pieces: forward recursion in log space over the lattice of
 pieces, so that no single segmentation has to be right.  No piece reaches over
 a word's end, so that the recursion runs once for each distinct word; the sum
@@ -29,6 +30,8 @@ are scored, and counted, each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -41,6 +44,8 @@ from kindred.llm.runtime import TEXT, bounded, written
 #: Most words that are broadcast (24 bytes each, and a table of four times as many places).
 HEAD = 1 << 20
 SPACE_MARK = "▁".encode()
+#: Rows of counts that the driver receives at most.
+GROUPS = 16
 #: Added to the count of every piece.
 SMOOTH = 0.1
 #: Taken from the count of every training word.
@@ -84,33 +89,41 @@ class Vocabulary:
         for p, c in zip(pieces, counts, strict=True):
             if len(p) == 1:
                 single[p[0]] += (c + SMOOTH) / total
-        self.byte = np.log(single)
         self.end = float(np.log((ends + SMOOTH) / total))
         more = [(p, c) for p, c in zip(pieces, counts, strict=True) if len(p) > 1]
-        self.logs = np.log((np.array([c for _, c in more]) + SMOOTH) / total)
+        logs = np.log((np.array([c for _, c in more]) + SMOOTH) / total)
         self.lengths = sorted({len(p) for p, _ in more})
         keys = np.array([self._key(np.frombuffer(p, np.uint8)) for p, _ in more], np.uint64)
         self.lookup = Lookup(keys)
+        self.edge_logs = np.concatenate([np.log(single), logs])
+
+    def weighted(self, counts: np.ndarray, ends: float) -> Vocabulary:
+        """The same pieces with probabilities from counts of edges and of text ends."""
+        out = copy.copy(self)
+        total = counts.sum() + ends + SMOOTH * (len(counts) + 1)
+        out.edge_logs = np.log((counts + SMOOTH) / total)
+        out.end = float(np.log((ends + SMOOTH) / total))
+        return out
 
     @staticmethod
     def _key(piece: np.ndarray) -> np.uint64:
         total = ((piece.astype(np.uint64) + np.uint64(1)) * powers(len(piece))).sum(dtype=np.uint64, keepdims=True)
         return mix(total + np.uint64(len(piece)))[0]
 
-    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
-        """Natural log of the probability of each word after a space mark, over all segmentations."""
-        if not words:
-            return np.zeros(0)
+    def _edges(self, words: list[bytes]):
+        """The lattice of all words: edges in order of their place in the word, and nodes (a word of n bytes has n + 1).
+
+        Edge ids: below 256 a byte, else 256 + the piece.
+        """
         data = np.frombuffer(b"".join(SPACE_MARK + w for w in words), np.uint8)
         size = np.fromiter(map(len, words), np.int64, len(words)) + len(SPACE_MARK)
         first = np.cumsum(size) - size
         word = np.repeat(np.arange(len(words)), size)
         place = np.arange(len(data)) - first[word]
         left = size[word] - place
-        starts, logs, spans = [np.arange(len(data))], [self.byte[data]], [np.ones(len(data), np.int64)]
-        value = (data.astype(np.uint64) + np.uint64(1)).copy()
-        at = np.arange(len(data))
-        done = 1
+        starts, ids, spans = [np.arange(len(data))], [data.astype(np.int64)], [np.ones(len(data), np.int64)]
+        value = data.astype(np.uint64) + np.uint64(1)
+        at, done = np.arange(len(data)), 1
         for n in self.lengths:
             at = at[left[at] >= n]
             if not len(at):
@@ -121,20 +134,49 @@ class Vocabulary:
             found = self.lookup.find(mix(value[at] + np.uint64(n)))
             hit = found >= 0
             starts.append(at[hit])
-            logs.append(self.logs[found[hit]])
+            ids.append(256 + found[hit])
             spans.append(np.full(int(hit.sum()), n))
-        start, log, span = np.concatenate(starts), np.concatenate(logs), np.concatenate(spans)
+        start, edge, span = np.concatenate(starts), np.concatenate(ids), np.concatenate(spans)
         order = np.argsort(place[start], kind="stable")
-        start, log, span = start[order], log[order], span[order]
+        start, edge, span = start[order], edge[order], span[order]
         bounds = np.searchsorted(place[start], np.arange(int(size.max()) + 1))
-        node = start + word[start]  # a word of n bytes has n + 1 nodes
-        alpha = np.full(len(data) + len(words), -np.inf)
-        alpha[first + np.arange(len(words))] = 0.0
-        for r in range(int(size.max())):
+        node = start + word[start]
+        root = first + np.arange(len(words))
+        return edge, node, node + span, bounds, root, root + size, word[start]
+
+    def _forward(self, log: np.ndarray, node: np.ndarray, to: np.ndarray, bounds: np.ndarray, root: np.ndarray, last: np.ndarray) -> np.ndarray:
+        alpha = np.full(int(last[-1]) + 1, -np.inf)
+        alpha[root] = 0.0
+        for r in range(len(bounds) - 1):
+            a, b = bounds[r], bounds[r + 1]
+            alpha[to[a:b]] = np.logaddexp(alpha[to[a:b]], alpha[node[a:b]] + log[a:b])
+        return alpha
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """Natural log of the probability of each word after a space mark, over all segmentations."""
+        if not words:
+            return np.zeros(0)
+        edge, node, to, bounds, root, last, _ = self._edges(words)
+        return self._forward(self.edge_logs[edge], node, to, bounds, root, last)[last]
+
+    def expected_counts(self, words: list[bytes], weights: np.ndarray) -> np.ndarray:
+        """How often each edge (bytes, then pieces) is used, over all segmentations of words that occur ``weights`` times."""
+        if not words:
+            return np.zeros(len(self.edge_logs))
+        edge, node, to, bounds, root, last, word = self._edges(words)
+        log = self.edge_logs[edge]
+        alpha = self._forward(log, node, to, bounds, root, last)
+        beta = np.full(len(alpha), -np.inf)
+        beta[last] = 0.0
+        for r in range(len(bounds) - 2, -1, -1):
             a, b = bounds[r], bounds[r + 1]
-            to = node[a:b] + span[a:b]
-            alpha[to] = np.logaddexp(alpha[to], alpha[node[a:b]] + log[a:b])
-        return alpha[first + size + np.arange(len(words))]
+            # Edges from one node lie apart in this range: one of each length at a time.
+            step = to[a:b] - node[a:b]
+            for n in np.unique(step):
+                k = np.flatnonzero(step == n) + a
+                beta[node[k]] = np.logaddexp(beta[node[k]], log[k] + beta[to[k]])
+        share = np.exp(alpha[node] + log + beta[to] - alpha[last][word]) * weights[word]
+        return np.bincount(edge, weights=share, minlength=len(self.edge_logs))
 
 
 def count_words(docs: DataFrame, text_col: str, train_col: str, most: int = 300_000) -> DataFrame:
@@ -169,32 +211,62 @@ def count_words(docs: DataFrame, text_col: str, train_col: str, most: int = 300_
 
 
 def piece_counts(words: DataFrame, model: bytes) -> np.ndarray:
-    """How often each piece of the vocabulary occurs in the training words, segmented by the model's own rule."""
+    """How often each piece of the vocabulary occurs in the distinct training words, segmented by the model's own rule.
+
+    As in other back-off models, words count once: the pieces stand in for
+    what whole-word frequencies don't cover.
+    """
     shared = words.sparkSession.sparkContext.broadcast(model)
+    import sentencepiece
+
+    size = sentencepiece.SentencePieceProcessor(model_proto=model).get_piece_size()
 
     def run(batches):
         import sentencepiece
 
         pieces = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
-        total = np.zeros(pieces.get_piece_size(), np.int64)
+        total = np.zeros(size)
         for batch in batches:
-            ids = pieces.encode(batch.column(0).to_pylist(), num_threads=1)
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
-            np.add.at(total, flat, np.repeat(batch.column(1).to_numpy(), n))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
+            for ids in pieces.encode(batch.column(0).to_pylist(), num_threads=1):
+                np.add.at(total, ids, 1.0)
+        yield total
 
-    import sentencepiece
+    return added(words.filter("c > 0").select("word"), run, size)
 
-    size = sentencepiece.SentencePieceProcessor(model_proto=model).get_piece_size()
-    rows = words.filter("c > 0").select("word", "c").mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # as many rows as pieces at most
-    out = np.zeros(size, np.int64)
-    out[rows["piece"].to_numpy()] = rows["n"].to_numpy()
-    return out
+
+def added(rows: DataFrame, run, size: int) -> np.ndarray:
+    """Sum of the vectors of ``size`` numbers that ``run`` gives for each partition: by groups of partitions first, then GROUPS rows on the driver."""
+
+    def vectors(batches):
+        for x in run(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS]), pa.array([np.asarray(x, float).tobytes()])], ["g", "x"])
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"x": [sum((np.frombuffer(x.as_py()) for x in table["x"]), np.zeros(size)).tobytes()]})
+
+    found = rows.mapInArrow(vectors, "g long, x binary").groupBy("g").applyInArrow(add, "x binary").toArrow()
+    return sum((np.frombuffer(x.as_py()) for x in found["x"]), np.zeros(size))
+
+
+def refine(words: DataFrame, start: Vocabulary, ends: float, rounds: int) -> Vocabulary:
+    """Expectation maximisation over all segmentations of the distinct training words."""
+    seen = words.filter("c > 0").select("word")
+    for _ in range(rounds):
+        shared = words.sparkSession.sparkContext.broadcast(start)
+
+        def run(batches, shared=shared):
+            total = np.zeros(len(shared.value.edge_logs))
+            for batch in batches:
+                for low in range(0, batch.num_rows, 20_000):
+                    part = [w.encode() for w in batch.column(0).slice(low, 20_000).to_pylist()]
+                    total += shared.value.expected_counts(part, np.ones(len(part)))
+            yield total
+
+        start = start.weighted(added(seen, run, len(start.edge_logs)), ends)
+    return start
 
 
-def vocabulary(model: bytes, counts: np.ndarray, ends: int) -> Vocabulary:
+def vocabulary(model: bytes, counts: np.ndarray, ends: float) -> Vocabulary:
     import sentencepiece
 
     source = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -210,13 +282,13 @@ def vocabulary(model: bytes, counts: np.ndarray, ends: int) -> Vocabulary:
     return Vocabulary(pieces, np.array(own, float), single, float(ends))
 
 
-def score(docs: DataFrame, model_path: str, train_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model_path: str, train_col: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """(id, train_col, n_tokens, n_known, train_tokens, base_score, score, lattice_score) of each row; scores are log10 probabilities.
 
-    ``train_col`` (boolean) marks the rows to learn from.
+    ``train_col`` (boolean, null is false) marks the rows to learn from.
     """
-    bounded(docs.sparkSession)
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.withColumn(train_col, F.coalesce(F.col(train_col), F.lit(False)))
+    bounded(spark)
     with open(model_path, "rb") as f:
         model = f.read()
     ends = docs.filter(F.col(train_col)).count()
@@ -226,7 +298,8 @@ def score(docs: DataFrame, model_path: str, train_col: str, id_col: str = "doc_i
     base = lambda c: np.log10((np.asarray(c) + 1.0) / (float(n) + v + 1))
     weight = DISCOUNT * v / n if n else 1.0
     whole = lambda c: np.maximum(np.asarray(c, float) - DISCOUNT, 0) / max(n, 1)
-    lattice = spark.sparkContext.broadcast(vocabulary(model, piece_counts(counted, model), ends))
+    by_type = ends * (v - (ends > 0)) / n if n else 0.0  # text ends for each distinct word, as for each word
+    lattice = spark.sparkContext.broadcast(refine(counted, vocabulary(model, piece_counts(counted, model), by_type), by_type, rounds))
 
     def word_scores(batches):
         for batch in batches:

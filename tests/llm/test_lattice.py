@@ -34,6 +34,32 @@ def test_all_segmentations():
     assert np.isfinite(v.log_probabilities([b"abc" * 2000])).all()
 
 
+def test_expected_counts():
+    """Against all segmentations, written out."""
+    v = L.Vocabulary(PIECES, COUNTS, np.ones(256), 3.0)
+    more = [q for q in PIECES if len(q) > 1]
+    logs = {bytes([b]): v.edge_logs[b] for b in range(256)}
+
+    def ways(s):
+        if not s:
+            yield []
+        for q in [s[:1], *[m for m in more if s.startswith(m)]] if s else []:
+            yield from ([q, *rest] for rest in ways(s[len(q) :]))
+
+    def log_of(q):
+        return v.edge_logs[256 + more.index(q)] if q in more else logs[q]
+
+    want = np.zeros(len(v.edge_logs))
+    words, weights = [b"abca", b"x", b"aab"], np.array([2.0, 1.0, 0.5])
+    for w, weight in zip(words, weights, strict=True):
+        found = [(x, math.exp(sum(map(log_of, x)))) for x in ways(L.SPACE_MARK + w)]
+        total = sum(p for _, p in found)
+        for x, p in found:
+            for q in x:
+                want[256 + more.index(q) if q in more else q[0]] += weight * p / total
+    assert np.allclose(v.expected_counts(words, weights), want)
+
+
 def test_words_sum_to_one_at_most():
     v = L.Vocabulary(PIECES, COUNTS, np.zeros(256), 3.0)
     words = [b""]
@@ -93,7 +119,7 @@ def test_better_than_base_on_held_out(spark):
 
 
 def test_awkward_and_empty(spark):
-    docs = awkward(spark).withColumn("train", F.col("doc_id").isNotNull())
+    docs = awkward(spark).withColumn("train", F.col("doc_id") > 1)  # null for null ids
     assert L.score(docs, MODEL, "train").count() == docs.count()
     assert L.score(docs.withColumn("train", F.lit(False)), MODEL, "train").filter("n_known = 0 and train_tokens = 0 and score < 0").count() == docs.count()
     assert L.score(none(spark).withColumn("train", F.lit(True)), MODEL, "train").count() == 0
