@@ -21,6 +21,7 @@ import json
 import os
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +30,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.kernels import SPACE, chunks
-from kindred.llm.runtime import ROW_KEY, TEXT
+from kindred.llm.kernels import SPACE, SliceCache, chunks
+from kindred.llm.runtime import CHUNK, ROW_KEY, TEXT, bounded
 
 
 def filesystem(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
+_MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?()")] = True
+_PLAIN[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+
+
+_BYTES = frozenset(np.flatnonzero(_PLAIN).tolist())
+
+
 def safe_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where texts may be cut without changing their tokens: their starts, and plain spaces between two visible characters.
+    """Where texts may be cut without changing their tokens.
 
-    Byte-level pre-tokenisers join one space to what follows it.  Next to
-    characters whose UTF-8 form could be that of a Unicode space nothing is cut.
+    These are their starts; plain spaces between two visible characters, since
+    byte-level pre-tokenisers join one space to what follows it; both sides of
+    a line end between two visible characters; and marks such as a comma after
+    an ASCII letter or digit.  Next to characters whose UTF-8 form could be
+    that of a Unicode space nothing is cut at a space or line end.
     """
     n = len(data)
-    place = np.flatnonzero(data == 32)
+    place = np.flatnonzero((data == 32) | (data == 10))
     place = place[(place > 0) & (place < n - 1)]
     odd = np.zeros(256, bool)
     odd[[0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -53,7 +65,10 @@ def safe_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     wide = before >= 0x80
     ok &= ~(wide & (odd[data[np.maximum(place - 2, 0)]] | odd[data[np.maximum(place - 3, 0)]]))
     cut = np.zeros(n + 1, bool)
-    cut[place[ok]] = True
+    place = place[ok]
+    cut[place] = True
+    cut[place[data[place] == 10] + 1] = True
+    cut[1:n] |= _MARK[data[1:]] & _PLAIN[data[:-1]]
     cut[at] = True
     return np.flatnonzero(cut[:n])
 
@@ -61,44 +76,71 @@ def safe_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 class LibraryEncoder:
     """Whole texts through a ``tokenizers`` model: each distinct stretch between safe cuts is encoded once while it is cached."""
 
-    def __init__(self, model: str, dtype: str, most: int = 400_000):
+    def __init__(self, model: str, dtype: str, most: int = 1_400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model)
         self.model.encode_special_tokens = True
-        self.dtype, self.most, self.known = np.dtype(dtype), most, {}
+        self.dtype = np.dtype(dtype)
+        self.cache = SliceCache(self.dtype, most)
+        self.bytes = np.zeros(self.model.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in self.model.get_vocab(with_added_tokens=True).items():
+            self.bytes[i] = len(token)  # byte-level vocabularies write a byte as a character
+
+    def library(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, and how many each has.
+
+        Words with a space before them and an ASCII letter or digit at their
+        end are encoded many in one text, which may be cut between them; the
+        bytes of each token tell where.
+        """
+        simple = [len(p) > 1 and p[0] == 32 and p[1] in _BYTES and p[-1] in _BYTES for p in parts]
+        words = [p for p, s in zip(parts, simple, strict=True) if s]
+        ids, many = self.each([p for p, s in zip(parts, simple, strict=True) if not s])
+        more, cuts = self.joined(words)
+        n = np.zeros(len(parts), np.int64)
+        mask = np.array(simple, bool)
+        n[mask], n[~mask] = cuts, many
+        out = np.empty(len(ids) + len(more), self.dtype)
+        own = np.repeat(mask, n)
+        out[own], out[~own] = more, ids
+        return out, n
+
+    def each(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.model.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), self.dtype, int(n.sum())), n
+
+    def joined(self, words: list[bytes], together: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        texts = [b"".join(words[i : i + together]).decode() for i in range(0, len(words), together)]
+        ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.cumsum(self.bytes[ids])
+        stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        last = np.searchsorted(ends, stops)
+        if len(ends) and last[-1] < len(ends) and (ends[last] == stops).all():
+            return ids, np.diff(last, prepend=-1)
+        return self.each(words)  # a vocabulary whose tokens aren't written byte by byte
 
     def encode(self, data: np.ndarray, at: np.ndarray, end_id: int) -> tuple[bytes, np.ndarray]:
         """Ids of all texts, ``end_id`` after each, and how many ids there are up to the end of each text."""
         cuts = safe_cuts(data, at)
-        raw, low = data.tobytes(), cuts.tolist()
-        parts = [raw[a:b] for a, b in zip(low, [*low[1:], len(raw)], strict=True)] if low else []
-        found = list(map(self.known.get, parts))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            own = {parts[i]: b"" for i in missing}
-            for part, e in zip(own, self.model.encode_batch_fast([p.decode() for p in own], add_special_tokens=False), strict=True):
-                own[part] = np.array(e.ids, self.dtype).tobytes()
-            for i in missing:
-                found[i] = own[parts[i]]
-            if len(self.known) + len(own) > self.most:
-                self.known.clear()
-            self.known.update((p, x) for p, x in own.items() if len(p) <= 64)
-        end = np.array([end_id], self.dtype).tobytes()
-        first = np.searchsorted(cuts, at)
-        out, sizes = [], np.zeros(len(at) - 1, np.int64)
-        for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            text = b"".join(found[a:b])
-            out += [text, end]
-            sizes[i] = len(text) // self.dtype.itemsize + 1
-        return b"".join(out), np.cumsum(sizes)
+        store, first, length = self.cache.ids_of(data, cuts, self.library)
+        before = np.concatenate([[0], np.cumsum(length)])
+        ends = before[np.searchsorted(cuts, at[1:])] + np.arange(1, len(at))
+        out = np.full(int(before[-1]) + len(at) - 1, end_id, self.dtype)
+        inside = np.ones(len(out), bool)
+        inside[ends - 1] = False
+        out[inside] = store[np.arange(before[-1]) + np.repeat(first - before[:-1], length)]
+        return out.tobytes(), ends
 
 
 _kept: list = [None, None]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 30) -> dict:
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 30, chunk_bytes: int = CHUNK) -> dict:
     """Writes ``docs`` to ``folder`` (a URI) and returns the manifest."""
     spark = docs.sparkSession
     from tokenizers import Tokenizer
@@ -108,6 +150,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     size = max(Tokenizer.from_str(model).get_vocab_size(with_added_tokens=True), end_id + 1)
     dtype = "<u2" if size <= 1 << 16 else "<u4"
     shared = spark.sparkContext.broadcast(model)
+    bounded(docs.sparkSession)
     files, root = filesystem(folder)
     files.create_dir(root, recursive=True)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(ROW_KEY), F.col(text_col).alias(TEXT))
@@ -134,7 +177,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             state["next"] = roll
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["part", "roll", "name", "docs", "tokens"])
 
-        for batch, data, at in chunks(batches, TEXT):
+        for batch, data, at in chunks(batches, TEXT, chunk_bytes):
             if "bin" not in state:
                 name = f"shard-{part:06d}-{state.get('next', 0):04d}-{uuid.uuid4().hex}"
                 state |= {"name": name, "roll": state.get("next", 0), "bin": out.open_output_stream(f"{root}/{name}.bin"), "ends": [], "ids": [], "n": 0}
