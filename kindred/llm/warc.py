@@ -32,7 +32,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.runtime import written
+from kindred.llm.runtime import bounded, written
 
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of the footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -140,6 +140,7 @@ def decided(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int =
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2025-01-01T00:00:00Z", least_bytes: int = 0) -> DataFrame:
     """Writes ``pages`` as bundles below ``folder`` and returns the index."""
+    bounded(pages.sparkSession)
     files, root = pafs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
     rows = decided(pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload")), "id", "payload", least_bytes)
@@ -174,12 +175,13 @@ RECORD = "page_id long, payload_bytes long, payload_digest string, record_type s
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each record of all bundles; a response's digest and length are taken from its payload."""
-    bundles = spark.read.schema(INDEX).parquet(f"{folder}/index").select("bundle").distinct()
+    bundles = [r[0] for r in spark.read.schema(INDEX).parquet(f"{folder}/index").select("bundle").distinct().orderBy("bundle").collect()]  # one row a file
+    shared = spark.sparkContext.broadcast(bundles)
 
     def run(batches):
         files, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name in (shared.value[k] for k in batch.column(0).to_pylist()):
                 with files.open_input_file(f"{root}/{name}") as f:
                     reader = BundleReader(f)
                     for k in range(len(reader.frames)):
@@ -196,14 +198,14 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                         columns = list(zip(*rows, strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return bundles.mapInArrow(run, RECORD)
+    return spark.range(0, len(bundles), 1, max(1, len(bundles))).mapInArrow(run, RECORD)  # a task for each bundle
 
 
 def fetch(spark: SparkSession, folder: str, record_ids: DataFrame) -> DataFrame:
     """(record_id, url, payload) of the records named in the first column; each wanted frame alone is decompressed."""
     index = spark.read.schema(INDEX).parquet(f"{folder}/index")
     wanted = index.join(record_ids.select(F.col(record_ids.columns[0]).alias("record_id")).distinct(), "record_id")
-    wanted = wanted.select("bundle", "frame", "offset", "record_id").repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    wanted = wanted.select("bundle", "frame", "offset", "record_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
 
     def run(batches):
         files, root = pafs.FileSystem.from_uri(folder)
