@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
-from kindred.llm.kernels import Lookup, Words
+from kindred.llm.kernels import Lookup, Words, buffer, trim
 from kindred.llm.runtime import ROW_KEY, binaries, map_texts, without, written
 
 HELD_OUT = 2
@@ -86,7 +86,7 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return np.exp(-np.logaddexp(0, -z))
 
 
-def fit(feature: np.ndarray, sentence: np.ndarray, bag: np.ndarray, toxic: np.ndarray, least: int = 3, screen: float | None = None, steps: int = 150, rate: float = 0.1, l2: float = 0.01) -> Model:
+def fit(feature: np.ndarray, sentence: np.ndarray, bag: np.ndarray, toxic: np.ndarray, least: int = 3, screen: float | None = None, steps: int = 150, rate: float = 0.1, l2: float = 0.005) -> Model:
     """Noisy-or training.  ``sentence``: first feature of each sentence; ``bag``: first sentence of each document.
 
     A feature gets a weight if it is in ``least`` documents or more and the
@@ -116,6 +116,8 @@ def fit(feature: np.ndarray, sentence: np.ndarray, bag: np.ndarray, toxic: np.nd
     f = place[used]
     owner = np.repeat(np.arange(len(sentence)), sizes)[used]
     n = len(keys)
+    del place, used, have, counts
+    trim()
     w, b = np.zeros(n), -4.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
@@ -161,11 +163,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     found = rows.join(F.broadcast(chosen), "id").orderBy("id").select("y", "words", "sizes").toArrow()
     if not found.num_rows:
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
-    sizes = [np.frombuffer(x, np.int64) for x in found["sizes"].to_pylist()]
-    feature = np.frombuffer(b"".join(found["words"].to_pylist()), np.uint64)
-    flat = np.concatenate(sizes)
-    bag = np.concatenate([[0], np.cumsum([len(x) for x in sizes])])[:-1]
-    return feature, np.concatenate([[0], np.cumsum(flat)])[:-1], bag, found["y"].to_numpy()
+    words, _ = buffer(found["words"])
+    sizes, cuts = buffer(found["sizes"])
+    flat = np.frombuffer(sizes.tobytes(), np.int64)
+    bag = cuts[:-1] // 8  # every document of the sample has a sentence
+    return np.frombuffer(words.tobytes(), np.uint64), np.cumsum(flat) - flat, bag, found["y"].to_numpy()
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None, least: float = 0.3) -> DataFrame:
