@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from kindred.llm.kernels import Words, chunks, lower, mix, powers, windows
-from kindred.llm.runtime import ROW_KEY, TEXT, binaries, bounded, fresh, map_texts, without, written
+from kindred.llm.kernels import Words, chunks, lower, mix, powers, trim, windows
+from kindred.llm.runtime import ROW_KEY, TEXT, binaries, bounded, fresh, key_filter, map_texts, passes, without, written
 from kindred.operators.components import connected_components, forest
 
 WIDTH = 5
@@ -109,14 +109,20 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIZE)
 
 
-def _roots(runs: int, threshold: float):
+def _roots(runs: int, threshold: float, wanted=None):
+    """Children of the roots of all runs, those that pass the filter ``wanted`` if there is one."""
+
     def run(batches):
         for batch in batches:
             sig, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
             for r in range(runs):
                 root = np.full(len(ids), mix(np.array([r + 1], np.uint64))[0])
                 row, child, _ = children(root, sig, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[row])], ["path", "set_id"])
+                path = child.view(np.int64)
+                if wanted is not None:
+                    kept = passes(wanted.value, path)
+                    path, row = path[kept], row[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(ids[row])], ["path", "set_id"])
 
     return run
 
@@ -143,8 +149,8 @@ def _compare_small(least: float):
         a, b = [], []
         k = 1
         while k < len(path) and (at := np.flatnonzero(path[k:] == path[:-k])).size:
-            for low in range(0, len(at), 100_000):
-                i = at[low : low + 100_000]
+            for low in range(0, len(at), 20_000):
+                i = at[low : low + 20_000]
                 near = i[(sig[i] == sig[i + k]).mean(1) >= least]
                 a.append(ids[near])
                 b.append(ids[near + k])
@@ -163,6 +169,7 @@ def _compare_small(least: float):
                 yield pairs(path[:cut], ids[:cut], sig[:cut])
         if kept is not None:
             yield pairs(*kept)
+        trim()
 
     return run
 
@@ -203,12 +210,15 @@ def nominate(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     nodes = sets.mapInArrow(_roots(runs, threshold), "path long, set_id long")
     found = []
     for level in range(DEPTH):
-        hashed = [F.bit_xor(F.xxhash64("set_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-        sizes = written(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), *hashed).filter("n > 1"), "path-sizes")
-        # Buckets of the same few sets, as most runs give them, are compared once.
-        once = sizes.filter(F.col("n") <= SMALL).groupBy("n", "x1", "x2").agg(F.min("path").alias("path")).select("path", "n")
-        sizes = written(once.unionByName(sizes.filter(F.col("n") > SMALL).select("path", "n")), "path-sizes")
+        sizes = written(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path-sizes")
+        if level == 0:  # most children of the roots are of one set: a filter keeps them from the join
+            wanted = sets.sparkSession.sparkContext.broadcast(key_filter(sizes, "path"))
+            nodes = sets.mapInArrow(_roots(runs, threshold, wanted), "path long, set_id long")
         live = written(nodes.join(sizes, "path"), "paths")
+        # Buckets of the same few sets, as most runs give them, are compared once.
+        hashed = [F.bit_xor(F.xxhash64("set_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+        once = live.filter(F.col("n") <= SMALL).groupBy("path", "n").agg(*hashed).groupBy("n", "x1", "x2").agg(F.min("path").alias("path")).select("path")
+        live = live.filter(F.col("n") > SMALL).unionByName(live.filter(F.col("n") <= SMALL).join(written(once, "paths-once"), "path", "left_semi"))
         small = live.filter(F.col("n") <= SMALL).join(sets, "set_id").select("path", "set_id", "signature")
         found.append(small.repartition("path").sortWithinPartitions("path").mapInArrow(_compare_small(least), "a long, b long"))
         if not sizes.filter(F.col("n") > SMALL).limit(1).count():
@@ -243,8 +253,8 @@ def _verify(threshold: float):
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         both = np.zeros((len(parts), len(parts)), np.float32)
-        step = 8192
-        for low in range(0, int(shared.sum()), step):
+        step = 4096
+        for low in range(0, int(shared.sum()), step):  # a stretch of columns at a time
             a, b = np.searchsorted(column, [low, low + step])
             m = np.zeros((len(parts), step), np.float32)
             m[owner[a:b], column[a:b] - low] = 1
@@ -265,31 +275,16 @@ def _verify(threshold: float):
     return run
 
 
-#: log2 of the bits of the filter that is broadcast: 4 MB, whatever the number of members.
-FILTER_BITS = 25
-
-
-def member_filter(members: DataFrame) -> np.ndarray:
-    """Bits of a filter that every member's text passes; other texts pass the less, the fewer members there are."""
-    bit = F.shiftrightunsigned(F.col(ROW_KEY), 64 - FILTER_BITS)
-    words = members.select((F.shiftright(bit, 6)).alias("word"), (bit % 64).cast("int").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()  # 2^FILTER_BITS / 64 rows at most
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool) if rows.num_rows else np.zeros(1 << FILTER_BITS, bool)
-
-
 def member_shingles(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(text_id, text_key, shingles) of the rows of ``docs`` that pass the filter: all that members need."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(member_filter(members), bitorder="little"))
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(members))
     texts = docs.select(F.col(id_col).alias("text_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias(TEXT))
 
     def run(batches):
         bits = shared.value
         for batch in batches:
-            key = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            passed = (bits[(key >> np.uint64(3)).astype(np.int64)] >> (key & np.uint64(7)).astype(np.uint8)) & 1
-            for part, data, at in chunks([batch.filter(pa.array(passed == 1))], TEXT):
+            passed = passes(bits, batch.column(1).to_numpy())
+            for part, data, at in chunks([batch.filter(pa.array(passed))], TEXT):
                 grams, _, ends, _ = shingles(data, at, width)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binaries(grams, 8 * ends)], ["text_id", "text_key", "shingles"])
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.runtime import ROW_KEY, without, written
+from kindred.llm.runtime import ROW_KEY, written
 
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -54,6 +54,11 @@ def repeat_words(words: Column) -> Column:
     return F.when(n <= WIDTH, F.lit(0).cast("long")).otherwise(some)
 
 
+def base_rule(text: Column) -> Column:
+    """Whether a text has under ten words, or over 20 percent of them in repeated windows."""
+    return let(F.array_remove(F.split(text, WORD_GAP), ""), lambda w: (F.size(w) < 10) | (100 * repeat_words(w) > 20 * F.size(w)))
+
+
 def rule_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns of COUNTS and ``base_failed``, each from the whole text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -116,30 +121,41 @@ def host_rates(counted: DataFrame, host: str = "source") -> DataFrame:
     return by_host
 
 
+def rejected_hosts(counted: DataFrame, host: str, threshold: float, least_docs: int) -> DataFrame:
+    """(__qr_host) of the hosts that the rules reject, to be broadcast up to MOST_BROADCAST of them."""
+    rates = host_rates(counted, host)
+    bad = F.lit(False)
+    for k in RULES:
+        bad = bad | (F.col(f"{k}_rate") > threshold)
+    rejected = written(rates.filter(bad & (F.col("n") >= least_docs) & F.col("__qr_host").isNotNull()).select("__qr_host"), "rejected-hosts")
+    return F.broadcast(rejected) if rejected.count() <= MOST_BROADCAST else rejected
+
+
 def quality_rules(docs: DataFrame, host: str = "source", text_col: str = "text", threshold: float = 0.5, least_docs: int = 20) -> DataFrame:
     """The columns of ``docs`` but its text, with rule counts, ``base_failed``, ``host_rejected`` and ``kept``.
 
     The counts are written once, without the texts, and read for both the
-    host rates and the result; ``ROW_KEY`` (a hash of the text) stays, so that
-    ``keep`` can tell rows of one id apart.  A host is rejected if it has
+    host rates and the result; ``ROW_KEY`` (a hash of the text) stays, to tell rows of
+    one id apart.  A host is rejected if it has
     ``least_docs`` documents or more and the shrunk rate of any rule is above
     ``threshold``.  Only rejected hosts are joined back: broadcast up to
     MOST_BROADCAST of them, else shuffled.
     """
     counted = rule_counts(docs, text_col).withColumn(ROW_KEY, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     counted = written(counted.drop(text_col), "rule-counts")
-    rates = host_rates(counted, host)
-    bad = F.lit(False)
-    for k in RULES:
-        bad = bad | (F.col(f"{k}_rate") > threshold)
-    rejected = written(rates.filter(bad & (F.col("n") >= least_docs) & F.col("__qr_host").isNotNull()).select("__qr_host"), "rejected-hosts")
-    side = F.broadcast(rejected) if rejected.count() <= MOST_BROADCAST else rejected
+    side = rejected_hosts(counted, host, threshold, least_docs)
     out = counted.join(side, counted[host] == side["__qr_host"], "left")
     out = out.withColumn("host_rejected", F.col("__qr_host").isNotNull()).drop("__qr_host")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    verdicts = quality_rules(docs, **options)
-    return without(docs, written(verdicts.filter(~F.col("kept")).select(id_col, ROW_KEY).distinct(), "rule-losers"), id_col, options.get("text_col", "text"))
+def keep(docs: DataFrame, host: str = "source", text_col: str = "text", threshold: float = 0.5, least_docs: int = 20) -> DataFrame:
+    """Rows of ``docs`` that the rules keep, with the columns of ``docs``.
+
+    The base rule is computed again where the texts are read: that costs less
+    than a join that shuffles texts.
+    """
+    slim = rule_counts(docs.select(F.col(host), F.col(text_col)), text_col).drop(text_col)
+    side = rejected_hosts(written(slim, "rule-counts"), host, threshold, least_docs)
+    good = docs.filter(~base_rule(F.coalesce(F.col(text_col), F.lit(""))))
+    return good.join(side, good[host] == side["__qr_host"], "left_anti")

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,26 +49,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]):
-    """Null-safe equality of ``keys`` between two frames."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 #: Columns that operators add to tell rows apart; a caller's column of the same name is kept aside.
 ROW_KEY = "__kindred_text_hash"
 
 
+#: log2 of the bits of a filter that is broadcast: 4 MB, whatever it was made from.
+FILTER_BITS = 25
+
+
+def key_filter(keys: DataFrame, key: str = ROW_KEY) -> np.ndarray:
+    """Packed bits of a filter that every hash in ``keys`` passes; others pass the less, the fewer hashes there are."""
+    bit = F.shiftrightunsigned(F.col(key), 64 - FILTER_BITS)
+    words = keys.select(F.shiftright(bit, 6).alias("word"), (bit % 64).cast("int").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()  # 2^FILTER_BITS / 64 rows at most
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    if rows.num_rows:
+        out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether each signed 64-bit hash passes the filter."""
+    at = key.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def without(docs: DataFrame, losers: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose (id, text) is not in ``losers`` (id column and ``ROW_KEY``).
 
-    Null ids and null texts compare as equal.  Spark broadcasts ``losers`` only
-    below its own size threshold; it is read from a written table, so that the
-    size is known.
+    Null ids and null texts compare as equal.  A filter of fixed size, made
+    from the losers, lets most other rows through where they are; only rows
+    that pass it are joined, exactly, so that few texts are shuffled.  The
+    filter sees hashes alone, not texts.
     """
-    left = docs.withColumn(ROW_KEY, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(losers))
+
+    @F.pandas_udf("boolean")
+    def maybe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for keys in batches:
+            yield pd.Series(passes(shared.value, keys.to_numpy(np.int64)))
+
+    marked = docs.withColumn(ROW_KEY, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    left = marked.filter(maybe(ROW_KEY))
     right = losers.select(F.col(id_col).alias("__loser_id"), F.col(ROW_KEY).alias("__loser_key"))
     on = left[id_col].eqNullSafe(right["__loser_id"]) & (left[ROW_KEY] == right["__loser_key"])
-    return left.join(right, on, "left_anti").drop(ROW_KEY)
+    return marked.filter(~maybe(ROW_KEY)).unionByName(left.join(right, on, "left_anti")).drop(ROW_KEY)
 
 
 TEXT = "__kindred_text"
@@ -78,7 +104,8 @@ CHUNK, BATCH = 512 << 10, 8 << 20
 def bounded(spark: SparkSession) -> None:
     """Holds the bytes of a batch for Python to BATCH, unless the session has a bound of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+    now = spark.conf.get(key, None)
+    if now is None or now.rstrip("b") == str(64 << 20):
         spark.conf.set(key, str(BATCH))
 
 
