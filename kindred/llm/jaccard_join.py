@@ -215,6 +215,8 @@ def nominate(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
             wanted = sets.sparkSession.sparkContext.broadcast(key_filter(sizes, "path"))
             nodes = sets.mapInArrow(_roots(runs, threshold, wanted), "path long, set_id long")
         live = written(nodes.join(sizes, "path"), "paths")
+        if level == 0:  # signatures of the other sets aren't needed any more
+            sets = written(sets.join(live.select("set_id").distinct(), "set_id", "left_semi"), "live-sets")
         # Buckets of the same few sets, as most runs give them, are compared once.
         hashed = [F.bit_xor(F.xxhash64("set_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
         once = live.filter(F.col("n") <= SMALL).groupBy("path", "n").agg(*hashed).groupBy("n", "x1", "x2").agg(F.min("path").alias("path")).select("path")
