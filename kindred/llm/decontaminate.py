@@ -3,8 +3,13 @@
 Numbers, names and units become typed placeholders, so that a question and a
 copy with other values give the same template.  Windows of template tokens are
 joined by hash.  Windows that lie on one alignment of document and item are
-then checked together: the values that fill the item's slots must map one to
-one to the values that fill the document's, else the match is chance.
+then checked together: the names and units that fill the item's slots must map
+one to one to those that fill the document's.  Numbers needn't, since new values
+may coincide or differ where the item's were equal.  Where a name or unit
+conflicts, only the windows that hold it are taken out, and windows that are the
+item's word for word stay.  What is left counts if it is more than what was
+taken out, or if more than ENOUGH windows in a row are word for word; else the
+match is chance.
 
 Defined cases: null texts count as empty and match nothing; an item of fewer
 tokens than the window is one window; windows with fewer than LITERALS literal
@@ -17,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.kernels import Lookup, Words, chunks, mix, windows
@@ -42,7 +47,7 @@ def _unit_keys() -> np.ndarray:
 
 
 class Template:
-    """Template tokens of many texts: code and slot value (0 for a literal) of each, and its row."""
+    """Template tokens of many texts: code and slot value (0 for a literal, else its last two bits are the kind) of each, and its row."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
         words = Words(data, at)
@@ -67,7 +72,7 @@ class Template:
             self.kind[1:][unit & (self.kind[:-1] == NUMBER) & (self.row[1:] == self.row[:-1]) & (self.kind[1:] == LITERAL)] = UNIT
         types = mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         self.code = np.where(self.kind == LITERAL, core, types[self.kind])
-        self.value = np.where(self.kind == LITERAL, np.uint64(0), core | np.uint64(1))
+        self.value = np.where(self.kind == LITERAL, np.uint64(0), core & ~np.uint64(3) | self.kind.astype(np.uint64))
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first token of each window with enough literals."""
@@ -131,6 +136,26 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, widths: list[i
     return given.mapInArrow(run, f"id {kind}, {ROW_KEY} long, {SCHEMA}")
 
 
+def _same(window: Column) -> Column:
+    """Whether the slots of a window are filled as in the item."""
+    return F.forall(window["pairs"], lambda x: x["theirs"] == x["slots"])
+
+
+def consistent(alignments: DataFrame, enough: int) -> DataFrame:
+    """Alignments with those of their ``windows`` (place, pairs) that hold no conflicting name or unit; those left to chance are dropped."""
+    fixed = F.filter(F.array_distinct(F.flatten("windows.pairs")), lambda x: x["theirs"].bitwiseAND(F.lit(3).cast("long")) != NUMBER)
+    n = F.size("fixed")
+    one_to_one = (F.size(F.array_distinct("fixed.theirs")) == n) & (F.size(F.array_distinct("fixed.slots")) == n)
+    clash = F.filter("fixed", lambda x: F.exists("fixed", lambda y: (x["theirs"] == y["theirs"]) != (x["slots"] == y["slots"])))
+    out = alignments.withColumn("fixed", fixed).withColumn("clash", F.when(~one_to_one, clash))
+    good = F.filter("windows", lambda w: _same(w) | ~F.arrays_overlap(w["pairs"], F.col("clash")))
+    out = out.withColumn("good", F.when(F.col("clash").isNull(), F.col("windows")).otherwise(good))
+    out = out.withColumn("verbatim", F.when(F.col("clash").isNotNull(), F.array_sort(F.transform(F.filter("good", _same), lambda w: w["place"]))))
+    in_a_row = F.array_contains(F.transform("verbatim", lambda x, i: F.coalesce(F.get("verbatim", i + enough) == x + enough, F.lit(False))), True)
+    left = F.col("clash").isNull() | (2 * F.size("good") > F.size("windows")) | in_a_row
+    return out.filter(left).withColumn("windows", F.col("good")).drop("fixed", "clash", "good", "verbatim")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WINDOW, coverage: float = COVERAGE, enough: int = ENOUGH, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(id, ROW_KEY, item, n_windows, item_windows, coverage, reparameterised) of each document and item it holds.
 
@@ -148,14 +173,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     right = items.withColumnRenamed("slots", "theirs").withColumnRenamed("position", "place")
     hits = found.join(F.broadcast(right) if small else right, ["width", "hash"])
     pairs = F.filter(F.arrays_zip("theirs", "slots"), lambda x: x["theirs"] != 0)
-    whole = hits.groupBy("id", ROW_KEY, "item", (F.col("position") - F.col("place")).alias("shift")).agg(
-        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )
-    n = F.size("pairs")
-    whole = whole.filter((F.size(F.array_distinct("pairs.theirs")) == n) & (F.size(F.array_distinct("pairs.slots")) == n))
+    window = F.struct(F.col("place"), pairs.alias("pairs"))
+    whole = hits.groupBy("id", ROW_KEY, "item", (F.col("position") - F.col("place")).alias("shift")).agg(F.collect_set(window).alias("windows"))
+    whole = consistent(whole, enough)
     by_item = whole.groupBy("id", ROW_KEY, "item").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"),
-        F.max(F.exists("pairs", lambda x: x["theirs"] != x["slots"])).alias("reparameterised"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("windows.place")))).cast("long").alias("n_windows"),
+        F.max(F.exists("windows", lambda w: ~_same(w))).alias("reparameterised"),
     )
     totals = items.groupBy("item").agg(F.count(F.lit(1)).alias("item_windows"))
     same = by_item.join((F.broadcast(totals) if small else totals).withColumnRenamed("item", "__item"), F.col("item").eqNullSafe(F.col("__item")))

@@ -33,6 +33,21 @@ def test_slots(spark):
     assert {r["doc_id"] for r in D.keep(docs, items).collect()} == {3, 4, 5, 6}
 
 
+def test_conflicting_slots(spark):
+    """A conflict takes out the windows that hold it, not the alignment; numbers may coincide and split."""
+    words = [f"w{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(60)]
+    words[10] = words[40] = "Anna"
+    changed = [*words[:40], "Clara", *words[41:]]
+    fruit = "then sam has 3 apples and 4 pears and wants to know how many pieces of fruit he has in all"
+    equal = "on the shelf stood 3 red jars and 3 blue jars and nobody knew what was kept in any of them"
+    items = spark.createDataFrame([(1, " ".join(words)), (2, fruit), (3, equal)], "item_id long, text string")
+    docs = [(1, " ".join(changed)), (2, fruit.replace("3", "5").replace("4", "5")), (3, equal.replace("3 red", "5 red").replace("3 blue", "7 blue")), (4, MIXED_NAMES), (5, CLEAN)]
+    found = {(r["doc_id"], r["item_id"]): r for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert set(found) == {(1, 1), (2, 2), (3, 3)}
+    assert found[1, 1]["n_windows"] == 45 and not found[1, 1]["reparameterised"]
+    assert found[2, 2]["reparameterised"] and found[3, 3]["reparameterised"]
+
+
 def test_part_of_a_long_item(spark):
     words = [f"word{i}" for i in range(90)]
     docs = spark.createDataFrame([(1, "before " + " ".join(words[30:43]) + " after"), (2, "before " + " ".join(words[30:41]) + " after")], "doc_id long, text string")
