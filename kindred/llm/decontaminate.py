@@ -11,15 +11,23 @@ item's word for word stay.  What is left counts if it is more than what was
 taken out, or if more than ENOUGH windows in a row are word for word; else the
 match is chance.
 
+Windows of the bare words in lower case, without types, are joined as well,
+so that what the templates can't tell is found where it stands word for word:
+windows with fewer than LITERALS literals, items in other case, items of any
+length.  Each character of a script without spaces is a word.
+
 Defined cases: null texts count as empty and match nothing; an item of fewer
-tokens than the window is one window; windows with fewer than LITERALS literal
-tokens tell nothing and are left out, so an item without another window is
-never found; repeated rows give the same result for each text; null ids are
+tokens than the window is one window; templates with fewer than LITERALS literal
+tokens tell nothing and are left to the windows of bare words; an item without
+any word has no window, and a warning gives the number of such items
+(``without_windows`` lists them); repeated rows give the same result for each text; null ids are
 ids; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,15 +54,34 @@ def _unit_keys() -> np.ndarray:
     return np.unique(Words(data, np.array([0, len(data)])).cores()[0])
 
 
+def spaced(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with a space before and after each character of a script that is written without spaces."""
+    if not (data >= 0xE0).any():
+        return data, at
+    next1 = np.append(data[1:], np.uint8(0))
+    wide = ((data >= 0xE3) & (data <= 0xE9)) | ((data == 0xE2) & (next1 >= 0xBA)) | ((data == 0xEF) & (next1 >= 0xA4) & (next1 <= 0xBE))  # CJK, kana, full width
+    wide |= ((data == 0xE0) & (next1 >= 0xB8) & (next1 <= 0xBB)) | ((data == 0xE1) & (((next1 >= 0x80) & (next1 <= 0x82)) | (next1 == 0x9E) | (next1 == 0x9F)))  # Thai, Lao, Burmese, Khmer
+    far = (data == 0xF0) & (next1 >= 0xA0) & (next1 <= 0xB3)
+    starts = np.sort(np.concatenate([np.flatnonzero(wide), np.flatnonzero(far)]))
+    if not len(starts):
+        return data, at
+    ends = starts + np.where(data[starts] == 0xF0, 4, 3)
+    cuts = np.concatenate([starts, ends])
+    out = np.insert(data, cuts, np.uint8(32))
+    # a space at the border of two texts: that before a first character belongs to its text, that after a last character to its own
+    return out, at + np.searchsorted(starts, at, "left") + np.searchsorted(np.sort(ends), at, "right")
+
+
 class Template:
     """Template tokens of many texts: code and slot value (0 for a literal, else its last two bits are the kind) of each, and its row."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
+        data, at = spaced(data, at)
         words = Words(data, at)
         core, first, last, solid = words.cores()
         n = len(words)
         if not n:
-            self.code = self.value = np.zeros(0, np.uint64)
+            self.code = self.core = self.value = np.zeros(0, np.uint64)
             self.kind, self.row = np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
         stops = np.concatenate([[0], np.cumsum((data == 46) | (data == 33) | (data == 63) | (data == 58))])
@@ -71,11 +98,14 @@ class Template:
             unit = Lookup(_unit_keys()).find(core[1:]) >= 0
             self.kind[1:][unit & (self.kind[:-1] == NUMBER) & (self.row[1:] == self.row[:-1]) & (self.kind[1:] == LITERAL)] = UNIT
         types = mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        self.core = core
         self.code = np.where(self.kind == LITERAL, core, types[self.kind])
         self.value = np.where(self.kind == LITERAL, np.uint64(0), core & ~np.uint64(3) | self.kind.astype(np.uint64))
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first token of each window with enough literals."""
+        """Hash and first token of each window: of templates with enough literals, or, of a negative width, of bare words."""
+        if width < 0:
+            return windows(self.core, self.row, -width)
         hashes, at = windows(self.code, self.row, width)
         literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
         enough = literal[at + width] - literal[at] >= LITERALS
@@ -89,27 +119,27 @@ def _rows(batch, width, t: Template, hashes, at):
     """Arrow rows of windows: the batch's own columns, then SCHEMA."""
     first = np.searchsorted(t.row, np.arange(batch.num_rows))
     row = t.row[at]
-    slots = t.value[at[:, None] + np.arange(width)].view(np.int64).ravel()
+    n = max(width, 0)  # bare words have no slots
+    slots = t.value[at[:, None] + np.arange(n)].view(np.int64).ravel()
     take = pa.array(row)
     own = [batch.column(i).take(take) for i in range(batch.num_columns - 1)]
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(slots))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * n), pa.array(slots))
     names = batch.schema.names[:-1] + ["width", "hash", "position", "slots"]
     return pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(at), width, np.int32)), pa.array(hashes.view(np.int64)), pa.array(at - first[row]), lists], names)
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(item, SCHEMA) of every window of every item; an item of fewer tokens is one window."""
+    """(item, SCHEMA) of every window of every item; an item of fewer tokens is one window.  ``width`` is negative for windows of bare words."""
 
     def run(batches):
         for batch, data, at in chunks(batches, TEXT):
             t = Template(data, at)
-            hashes, where = t.windows(width)
-            yield _rows(batch, width, t, hashes, where)
             n = np.bincount(t.row, minlength=batch.num_rows)
-            for w in np.unique(n[(n >= LITERALS) & (n < width)]):
-                hashes, where = t.windows(int(w))
-                whole = n[t.row[where]] == w
-                yield _rows(batch, int(w), t, hashes[whole], where[whole])
+            for w in [width, *np.unique(n[(n > 0) & (n < width)]).tolist()]:
+                for signed in (w, -w):
+                    hashes, where = t.windows(signed)
+                    whole = (n[t.row[where]] == w) | (w == width)
+                    yield _rows(batch, signed, t, hashes[whole], where[whole])
 
     given = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias(TEXT))
     kind = given.schema["item"].dataType.simpleString()
@@ -142,7 +172,7 @@ def _same(window: Column) -> Column:
 
 
 def consistent(alignments: DataFrame, enough: int) -> DataFrame:
-    """Alignments with those of their ``windows`` (place, pairs) that hold no conflicting name or unit; those left to chance are dropped."""
+    """Alignments with those of their ``windows`` (place, typed, pairs) that hold no conflicting name or unit; those left to chance are dropped."""
     fixed = F.filter(F.array_distinct(F.flatten("windows.pairs")), lambda x: x["theirs"].bitwiseAND(F.lit(3).cast("long")) != NUMBER)
     n = F.size("fixed")
     one_to_one = (F.size(F.array_distinct("fixed.theirs")) == n) & (F.size(F.array_distinct("fixed.slots")) == n)
@@ -150,9 +180,9 @@ def consistent(alignments: DataFrame, enough: int) -> DataFrame:
     out = alignments.withColumn("fixed", fixed).withColumn("clash", F.when(~one_to_one, clash))
     good = F.filter("windows", lambda w: _same(w) | ~F.arrays_overlap(w["pairs"], F.col("clash")))
     out = out.withColumn("good", F.when(F.col("clash").isNull(), F.col("windows")).otherwise(good))
-    out = out.withColumn("verbatim", F.when(F.col("clash").isNotNull(), F.array_sort(F.transform(F.filter("good", _same), lambda w: w["place"]))))
+    out = out.withColumn("verbatim", F.when(F.col("clash").isNotNull(), F.array_sort(F.array_distinct(F.filter("good", _same)["place"]))))
     in_a_row = F.array_contains(F.transform("verbatim", lambda x, i: F.coalesce(F.get("verbatim", i + enough) == x + enough, F.lit(False))), True)
-    left = F.col("clash").isNull() | (2 * F.size("good") > F.size("windows")) | in_a_row
+    left = F.col("clash").isNull() | (2 * F.size(F.array_distinct("good.place")) > F.size(F.array_distinct("windows.place"))) | in_a_row
     return out.filter(left).withColumn("windows", F.col("good")).drop("fixed", "clash", "good", "verbatim")
 
 
@@ -163,8 +193,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     bounded(docs.sparkSession)
     items = written(item_windows(benchmark, item_col, item_text, width), "item-windows")
-    shape = items.agg(F.countDistinct("hash").alias("n"), F.collect_set("width").alias("widths")).first()
+    shape = items.agg(F.countDistinct("hash").alias("n"), F.collect_set("width").alias("widths"), F.count_distinct(F.struct("item")).alias("items")).first()
     small = shape["n"] <= most_broadcast
+    if lost := benchmark.select(item_col).distinct().count() - shape["items"]:
+        logging.getLogger(__name__).warning("%d benchmark items have no word and can't be found", lost)
     wanted = None
     if small:
         keys = items.select("hash").distinct().toArrow()["hash"].to_numpy()
@@ -173,19 +205,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     right = items.withColumnRenamed("slots", "theirs").withColumnRenamed("position", "place")
     hits = found.join(F.broadcast(right) if small else right, ["width", "hash"])
     pairs = F.filter(F.arrays_zip("theirs", "slots"), lambda x: x["theirs"] != 0)
-    window = F.struct(F.col("place"), pairs.alias("pairs"))
+    window = F.struct(F.col("place"), (F.col("width") > 0).alias("typed"), pairs.alias("pairs"))
     whole = hits.groupBy("id", ROW_KEY, "item", (F.col("position") - F.col("place")).alias("shift")).agg(F.collect_set(window).alias("windows"))
     whole = consistent(whole, enough)
     by_item = whole.groupBy("id", ROW_KEY, "item").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("windows.place")))).cast("long").alias("n_windows"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(F.filter("windows", lambda w: w["typed"])["place"])))).alias("n_typed"),
         F.max(F.exists("windows", lambda w: ~_same(w))).alias("reparameterised"),
     )
-    totals = items.groupBy("item").agg(F.count(F.lit(1)).alias("item_windows"))
+    totals = items.groupBy("item").agg(F.count_distinct("position").alias("item_windows"), F.count_if(F.col("width") > 0).alias("item_typed"))
     same = by_item.join((F.broadcast(totals) if small else totals).withColumnRenamed("item", "__item"), F.col("item").eqNullSafe(F.col("__item")))
-    same = same.withColumn("coverage", F.col("n_windows") / F.col("item_windows")).filter((F.col("coverage") >= coverage) | (F.col("n_windows") >= enough))
+    typed = F.coalesce(F.try_divide("n_typed", "item_typed"), F.lit(0.0))
+    same = same.withColumn("coverage", F.greatest(F.col("n_windows") / F.col("item_windows"), typed)).filter((F.col("coverage") >= coverage) | (F.col("n_windows") >= enough))
     return same.select(F.col("id").alias(id_col), ROW_KEY, F.col("item").alias(item_col), "n_windows", "item_windows", "coverage", "reparameterised")
 
 
+def without_windows(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
+    """Rows of ``benchmark`` whose text has no word, which nothing can hold."""
+    found = item_windows(benchmark, item_col, item_text, width).select("item").distinct()
+    return benchmark.join(found, F.col(item_col).eqNullSafe(F.col("item")), "left_anti")
+
+
 def keep(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` that hold no item of ``benchmark``, with the columns of ``docs``."""
     losers = contaminated(docs, benchmark, id_col, text_col, **options).select(id_col, ROW_KEY).distinct()

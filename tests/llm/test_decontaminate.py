@@ -62,6 +62,26 @@ def test_short_item(spark):
     assert [r["doc_id"] for r in D.contaminated(docs, items).collect()] == [1]
 
 
+def test_items_of_few_literals(spark, caplog):
+    """Items that templates can't tell are found where a document holds them; those without a word are reported."""
+    texts = ["12 + 7 * 3 - 4 = 29", "Anna Bruno Clara Dora Emil Frida Gustav Hanna Igor Julia", "THE RED HOUSE STANDS BY THE OLD BRIDGE OF THE TOWN", "世界上最高的山峰是哪一座", "der Hund jagt die Katze und der Vogel sieht dem Fisch im Teich zu"]
+    items = spark.createDataFrame([*enumerate(texts), (90, "?! ..."), (91, None)], "item_id long, text string")
+    held = [f"some words before {x} and some after" for x in texts[:3]] + ["我想知道世界上最高的山峰是哪一座。谢谢", texts[4].lower()]
+    docs = spark.createDataFrame([*enumerate(held), (50, CLEAN), (51, "12 + 7 * 3 - 5 = 28"), (52, "世界上有很多山")], "doc_id long, text string")
+    for most in (D.MOST_BROADCAST, 0):
+        found = D.contaminated(docs, items, most_broadcast=most).collect()
+        assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in found} == {(i, i, 1.0) for i in range(5)}
+    assert {r["item_id"] for r in D.without_windows(items).collect()} == {90, 91}
+    assert "2 benchmark items" in caplog.text
+
+
+def test_spaced():
+    texts = ["ab漢字c", "漢", "", "字", "é naïve \u201cx\u201d", "ไทย𠀀"]
+    data, at = D.spaced(*kernels.buffer(pa.array(texts)))
+    rows = [bytes(data[a:b]).decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert [r.split() for r in rows] == [["ab", "漢", "字", "c"], ["漢"], [], ["字"], ["é", "naïve", "\u201cx\u201d"], ["ไ", "ท", "ย", "𠀀"]]
+
+
 def test_verbatim_items(spark, sf_dir):
     """Every document that has an item's words in a row is found, and no other."""
     from kindred.llm import queries
