@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from kindred.operators import clusters
 from kindred.operators.components import connected_components, forest
 from kindred.operators.numbering import number_rows
-from kindred.operators.similarity import average_linkage, cluster_vectors, similar_pairs
+from kindred.operators.similarity import average_linkage, chain_linkage, cluster_vectors, similar_pairs
 from kindred.shared import shared_dir
 
 
@@ -101,6 +101,31 @@ def test_clusters_by_component(spark):
         cluster_vectors(vectors(spark, x), shared_dir(spark), 0.1, max_component=5).collect()
 
 
+def test_chain_linkage():
+    for seed in range(4):
+        x = np.concatenate([data(60, seed), data(60, seed)[:20]])
+        weight = np.random.default_rng(seed).integers(1, 5, len(x))
+        for t in (0.3, 0.6, 0.8):
+            assert parts(chain_linkage(x, t)) == parts(average_linkage(x, t)) == slow_linkage(x, t)
+            assert chain_linkage(x, t, weight).tolist() == average_linkage(x, t, weight).tolist()
+
+
+def test_equal_vectors_and_large_components(spark):
+    """20,001 copies of one vector are one point; large components need no matrix; the members are those of linkage over all rows."""
+    x = data(60).astype(np.float32).astype(float)
+    x = np.concatenate([x, x[:25], x[:5], [[0.0] * 15 + [1.0]] * 2])
+    for matrix in (4096, 3):
+        rows = cluster_vectors(vectors(spark, x), shared_dir(spark), 0.6, matrix=matrix).collect()
+        got: dict = {}
+        for r in rows:
+            got.setdefault(r["cluster"], set()).add(r["key"])
+        assert {frozenset(g) for g in got.values()} == {g for g in parts(average_linkage(x, 0.6)) if len(g) > 1}
+        assert all(k == min(g) for k, g in got.items()) and len(rows) == len({r["key"] for r in rows})
+    copies = spark.range(20_001).select(F.col("id").alias("key"), F.expr("array(1.0f, 2.0f)").alias("embedding"))
+    got = cluster_vectors(copies, shared_dir(spark), 0.8).groupBy("cluster").count().collect()
+    assert [(r["cluster"], r["count"]) for r in got] == [(0, 20_001)]
+
+
 def test_facts(spark):
     x = data(30)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
