@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where none is set (local tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir; on a local master without one, a temporary folder is set.
+
+    Elsewhere it must be set: a machine's own folder isn't seen by the others.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = own.get() if own.isDefined() else None
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="kindred-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/") + "/kindred"
