@@ -7,7 +7,6 @@ executor costs the tasks it ran and nothing that was already written.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,34 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kindred.llm.kernels import chunks
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (local tests), a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = folder.get() if folder.isDefined() else None
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="kindred-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from kindred.shared import shared_dir, table, written  # noqa: F401  (for the operators)
 
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/kindred/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: its lineage ends there."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: Columns that operators add to tell rows apart; a caller's column of the same name is kept aside.

@@ -81,3 +81,43 @@ def test_awkward_and_empty(spark):
     empty = labels.filter("false")
     assert T.keep(docs, empty).count() == docs.count()
     assert T.keep(none(spark), empty).count() == 0
+
+
+def test_screening_on_executors_changes_no_model(spark):
+    """The model is that of all features of the sample, counted here by brute force."""
+    rows = corpus(300, 5)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    few = T.sample(docs, labels)
+    every = T.sample(docs, labels, least=0, screen=0.0)
+    assert len(few[0]) < len(every[0]) and (few[2] == every[2]).all() and (few[3] == every[3]).all()
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows}
+    text = {i: t for i, t, *_ in rows}
+    data, at = kernels.buffer(pa.array([text[i] for i in text if not held[i]]))
+    assert len(every[0]) == len(T.Sentences(data, at).feature)
+    one, other = T.fit(*few), T.fit(*every)
+    assert (one.keys == other.keys).all() and np.allclose(one.weights, other.weights) and np.isclose(one.bias, other.bias)
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    rows = corpus(80)
+    docs = [(i, t * 200 if i in (0, 1, 2, 3) else t) for i, t, *_ in rows]
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    most = 2 * max(len(t.split()) for _, t in docs[4:]) * 80
+    _, _, bag, y = T.sample(spark.createDataFrame(docs, "doc_id long, text string"), labels, most_words=most)
+    free = [r for r in rows[4:] if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert len(bag) >= len(free) and y.sum() >= sum(r[2] for r in free)
+    assert T.choose([(1, 10), (1, 3), (0, 4), (1, 2), (0, 2)], 10) == [1, 2, 3]
+
+
+def test_query(spark, sf_dir):
+    """Every document has a score; those that were not learnt from are told apart by their labels."""
+    from kindred.llm import queries
+
+    out = {r["doc_id"]: r for r in queries.op3_toxicity(spark, sf_dir).collect()}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert set(out) == set(docs)
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for i, r in out.items())
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    held = [i for i in labels if i in out and out[i]["held_out"] and labels[i] is not None]
+    assert np.mean([out[i]["predicted"] == labels[i] for i in held]) > 0.8
