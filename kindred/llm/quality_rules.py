@@ -1,12 +1,13 @@
 """Quality rules at host level, in DataFrame functions only.
 
 Each document gets its rule counts from its whole text.  Failures are counted
-by host (a column, or the domain of a URL), every host's failure rate is shrunk
+by host (a column; ``domain`` makes one of a URL), every host's failure rate is shrunk
 towards an empirical beta prior fitted to all hosts, and a host whose shrunk
 rate stays above the threshold takes its documents with it.
 
 Defined cases: a null or empty text has no words and fails the base rule; a
-null host is a host of its own, which is never rejected; repeated rows count
+null host is a host of its own, which is never rejected; a host of fewer than
+``least_docs`` documents isn't either, whatever its rate; repeated rows count
 each time; an empty table gives no rows; other columns are carried through, and
 those whose names start with ``__qr_`` are reserved.
 """
@@ -54,58 +55,61 @@ def repeat_words(words: Column) -> Column:
     return F.when(n <= WIDTH, F.lit(0).cast("long")).otherwise(some)
 
 
-def base_rule(text: Column) -> Column:
-    """Whether a text has under ten words, or over 20 percent of them in repeated windows."""
-    return let(F.array_remove(F.split(text, WORD_GAP), ""), lambda w: (F.size(w) < 10) | (100 * repeat_words(w) > 20 * F.size(w)))
-
-
-def rule_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns of COUNTS and ``base_failed``, each from the whole text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def measures(text: Column) -> Column:
+    """A struct of COUNTS of a text that isn't null."""
     lines = let(
         F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.translate(x, "\t\x0b\f\r", "    "))) > 0),
         lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     )
-    of_words = let(
+    return let(
         F.array_remove(F.split(text, WORD_GAP), ""),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            lines.alias("n_dup_lines"),
             repeat_words(w).alias("n_repeat_words"),
         ),
     )
-    out = docs.withColumn("__qr_w", of_words)
-    out = out.withColumns(
-        {
-            "n_words": F.col("__qr_w.n_words"),
-            "word_chars": F.col("__qr_w.word_chars"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": lines,
-            "n_repeat_words": F.col("__qr_w.n_repeat_words"),
-        }
-    ).drop("__qr_w")
-    return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-
-
-#: Rules whose failures are counted by host.
+
+
+def base_failed(m) -> Column:
+    """Whether a text has under ten words, or over 20 percent of them in repeated windows."""
+    return (m("n_words") < 10) | (100 * m("n_repeat_words") > 20 * m("n_words"))
+
+
+#: Rules whose failures are counted by host, as functions of a text's counts by name.
 RULES = {
-    "base": lambda: F.col("base_failed"),
-    "symbols": lambda: 10 * F.col("n_symbols") > F.col("word_chars"),
-    "lines": lambda: (F.col("n_dup_lines") >= 3) & (5 * F.col("n_dup_lines") > F.col("n_words")),
+    "base": base_failed,
+    "symbols": lambda m: 10 * m("n_symbols") > m("word_chars"),
+    "lines": lambda m: (m("n_dup_lines") >= 3) & (5 * m("n_dup_lines") > m("n_words")),
 }
 
 
-def host_rates(counted: DataFrame, host: str = "source") -> DataFrame:
+def rule_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the columns of COUNTS and ``base_failed``, each from the whole text."""
+    out = docs.withColumn("__qr_w", measures(F.coalesce(F.col(text_col), F.lit(""))))
+    out = out.withColumns({c: F.col(f"__qr_w.{c}") for c in COUNTS}).drop("__qr_w")
+    return out.withColumn("base_failed", base_failed(F.col))
+
+
+def domain(url: Column) -> Column:
+    """The host of a URL, in lower case and without a leading ``www.``; null where there is none."""
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), "^www[.]", "")
+
+
+def host_rates(counted: DataFrame, host: str = "source", fails: dict[str, Column] | None = None) -> DataFrame:
     """A row for each host: its documents ``n``, failures of each rule, and shrunk rates ``<rule>_rate``.
 
+    ``fails`` are conditions on a row of ``counted``, by default RULES of its counts.
+
     The prior of a rule is Beta(m*s, (1-m)*s): m is the rate over all
     documents, and s comes from the variance of the hosts' rates less the part
     that sampling explains (method of moments), held in 1 .. 1e6.
     """
+    fails = fails or {k: rule(F.col) for k, rule in RULES.items()}
     by_host = written(
-        counted.groupBy(F.col(host).alias("__qr_host")).agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(rule().cast("long")).alias(k) for k, rule in RULES.items()]
-        ),
+        counted.groupBy(F.col(host).alias("__qr_host")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c.cast("long")).alias(k) for k, c in fails.items()]),
         "host-failures",
     )
     moments = [F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("docs"), F.avg(1.0 / F.col("n")).alias("inv")]
@@ -121,9 +125,9 @@ def host_rates(counted: DataFrame, host: str = "source") -> DataFrame:
     return by_host
 
 
-def rejected_hosts(counted: DataFrame, host: str, threshold: float, least_docs: int) -> DataFrame:
+def rejected_hosts(counted: DataFrame, host: str, threshold: float, least_docs: int, fails: dict[str, Column] | None = None) -> DataFrame:
     """(__qr_host) of the hosts that the rules reject, to be broadcast up to MOST_BROADCAST of them."""
-    rates = host_rates(counted, host)
+    rates = host_rates(counted, host, fails)
     bad = F.lit(False)
     for k in RULES:
         bad = bad | (F.col(f"{k}_rate") > threshold)
@@ -152,10 +156,14 @@ def quality_rules(docs: DataFrame, host: str = "source", text_col: str = "text",
 def keep(docs: DataFrame, host: str = "source", text_col: str = "text", threshold: float = 0.5, least_docs: int = 20) -> DataFrame:
     """Rows of ``docs`` that the rules keep, with the columns of ``docs``.
 
-    The base rule is computed again where the texts are read: that costs less
-    than a join that shuffles texts.
+    The rules run once: rows are written with the rules that they fail, texts
+    that fail the base rule without their characters.  Host rates read the
+    flags alone, and no text is shuffled.
     """
-    slim = rule_counts(docs.select(F.col(host), F.col(text_col)), text_col).drop(text_col)
-    side = rejected_hosts(written(slim, "rule-counts"), host, threshold, least_docs)
-    good = docs.filter(~base_rule(F.coalesce(F.col(text_col), F.lit(""))))
-    return good.join(side, good[host] == side["__qr_host"], "left_anti")
+    marks = let(measures(F.coalesce(F.col(text_col), F.lit(""))), lambda m: F.struct(*[rule(lambda c, m=m: m[c]).alias(k) for k, rule in RULES.items()]))
+    marked = docs.withColumn("__qr_fails", marks)
+    whole = F.when(~F.col("__qr_fails.base"), F.col(f"`{text_col}`")).alias(text_col)
+    marked = written(marked.select(*[whole if c == text_col else F.col(f"`{c}`") for c in docs.columns], "__qr_fails"), "rule-failures")
+    side = rejected_hosts(marked, host, threshold, least_docs, {k: F.col(f"__qr_fails.{k}") for k in RULES})
+    good = marked.filter(~F.col("__qr_fails.base"))
+    return good.join(side, good[host] == side["__qr_host"], "left_anti").drop("__qr_fails")

@@ -56,3 +56,19 @@ def test_no_python_in_plan(spark, sf_dir):
 
     plan = queries.op9_quality_rules(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_domain(spark):
+    urls = ["https://WWW.Example.org/a?b=c", "http://user@news.example.org:8080/x", "no url", "", None, "ftp://www2.a.b"]
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select(Q.domain(Q.F.col("url")).alias("d"))
+    assert [r["d"] for r in got.collect()] == ["example.org", "news.example.org", None, None, None, "www2.a.b"]
+
+
+def test_keep_agrees_with_the_counts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(awkward(spark).select("doc_id", "text", "lang", "source", "n_chars"))
+    want = sorted((r["doc_id"] or -1) for r in Q.quality_rules(docs).filter("kept").collect())
+    kept = Q.keep(docs)
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == want and kept.columns == docs.columns
+    assert kept.exceptAll(docs).count() == 0
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
