@@ -7,9 +7,11 @@ own hash, 1/threshold of them on average, and sends each set to the child named
 by its value there.  A bucket of few sets is compared whole.  A bucket whose
 sets are alike on average wouldn't get smaller and is compared whole too, in
 blocks.  A pair above the threshold has one surviving branch or more at every
-level on average, so a run finds it with probability of about one half even far
-down; runs are repeated until the probability of missing it is below
-1 - recall.
+level on average; ``survival`` is the probability that a run still has it at a
+depth, and ``runs_for`` the number of runs after which it has been missed with
+a probability of 1 - recall at most.  All sets get the runs that buckets of
+depth SHALLOW need.  Sets that went deeper, which alone can form pairs that
+need more, get further runs until there are enough for the depth reached.
 
 Signatures nominate pairs; connected nominees are then verified by their exact
 shingle sets, all pairs among them, in blocks.  Links are summed within blocks:
@@ -44,6 +46,8 @@ SMALL, BLOCK, EXACT_BLOCK = 48, 1024, 512
 #: Share of equal pairs on the next coordinate from which a bucket counts as alike.
 ALIKE = 0.5
 DEPTH = 12
+#: Depth that the first runs are enough for.
+SHALLOW = 3
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,9 +72,13 @@ def shingles(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.n
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, ROW_KEY, set_id, signature) for each row; the signature of an empty text is null."""
+    """(id, ROW_KEY, set_id, signature, tops) for each row; the signature of an empty text is empty.
+
+    ``signature`` has the lower 16 bits of each coordinate and ``tops`` the upper: below the
+    roots, where the sets of a bucket have 32 bits in common, the lower are enough.
+    """
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(ROW_KEY), F.col(text_col).alias("text"))
-    out = StructType([StructField("set_id", LongType()), StructField("signature", BinaryType())])
+    out = StructType([StructField("set_id", LongType()), StructField("signature", BinaryType()), StructField("tops", BinaryType())])
 
     def start():
         def work(data, at):
@@ -80,8 +88,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
             if len(has):
                 for k in range(SIZE):
                     least[:, k] = np.minimum.reduceat(((grams ^ _FACTORS[-1 - k]) * _FACTORS[k]) >> np.uint64(32), low[has])
-            ends = np.cumsum(high > low) * (4 * SIZE)
-            return [pa.array(whole.view(np.int64)), binaries(least, ends)]
+            ends = np.cumsum(high > low) * (2 * SIZE)
+            return [pa.array(whole.view(np.int64)), binaries(least.astype(np.uint16), ends), binaries((least >> np.uint32(16)).astype(np.uint16), ends)]
 
         return work
 
@@ -105,17 +113,35 @@ def children(path: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.nd
     return np.concatenate([row, extra]), np.concatenate([child(row, first), child(extra, second)]), np.repeat([0, 1], [len(row), len(extra)])
 
 
+def survival(depth: int, agree: np.ndarray, threshold: float) -> np.ndarray:
+    """Probability that a run has two sets, whose signatures agree in a share ``agree``, in one bucket at ``depth``."""
+    alive = np.ones_like(agree)
+    for _ in range(depth):
+        alive = 1 - (1 - agree * alive) * (1 - (1 / threshold - 1) * agree * alive)
+    return alive
+
+
+def runs_for(depth: int, threshold: float, recall: float) -> int:
+    """Runs that find a pair of similarity ``threshold`` with probability ``recall`` in buckets of ``depth`` levels."""
+    k = np.arange(SIZE + 1)
+    ways = np.array([math.comb(SIZE, int(i)) for i in k], float)
+    share = ways * threshold**k * (1 - threshold) ** (SIZE - k)  # of signatures that agree in k coordinates
+    missed = 1 - survival(depth, k / SIZE, threshold)
+    return next(r for r in range(1, 1000) if (share * missed**r).sum() <= 1 - recall or threshold == 0)
+
+
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIZE)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SIZE)
 
 
-def _roots(runs: int, threshold: float, wanted=None):
-    """Children of the roots of all runs, those that pass the filter ``wanted`` if there is one."""
+def _roots(runs: range, threshold: float, wanted=None):
+    """Children of the roots of ``runs``, those that pass the filter ``wanted`` if there is one."""
 
     def run(batches):
         for batch in batches:
-            sig, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
-            for r in range(runs):
+            ids = batch.column(0).to_numpy()
+            sig = _matrix(batch.column(1)).astype(np.uint32) | _matrix(batch.column(2)).astype(np.uint32) << np.uint32(16)
+            for r in runs:
                 root = np.full(len(ids), mix(np.array([r + 1], np.uint64))[0])
                 row, child, _ = children(root, sig, threshold)
                 path = child.view(np.int64)
@@ -204,19 +230,37 @@ def _blocked(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
 
 
 def nominate(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Edges (a, b) among ``sets`` (set_id, signature) that connect every pair which a run found."""
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(0.5)))
+    """Edges (a, b) among ``sets`` (set_id, signature, tops) that connect every pair which a run found."""
+    found, done, need = [], 0, runs_for(SHALLOW, threshold, recall)
+    while done < need:
+        edges, deep, depth = _nominate(sets, range(done, need), threshold)
+        found += edges
+        done, need = need, runs_for(max(depth, SHALLOW), threshold, recall)
+        if deep is None:
+            break
+        if done < need:
+            sets = written(sets.join(deep, "set_id", "left_semi"), "deep-sets")
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    return edges
+
+
+def _nominate(sets: DataFrame, runs: range, threshold: float) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """Edges that ``runs`` find, the sets that were in buckets split at depth SHALLOW (None: no such bucket), and the depth reached."""
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / SIZE)
     nodes = sets.mapInArrow(_roots(runs, threshold), "path long, set_id long")
-    found = []
+    found, deep = [], None
     for level in range(DEPTH):
         sizes = written(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path-sizes")
+        wanted = None
         if level == 0:  # most children of the roots are of one set: a filter keeps them from the join
             wanted = sets.sparkSession.sparkContext.broadcast(key_filter(sizes, "path"))
             nodes = sets.mapInArrow(_roots(runs, threshold, wanted), "path long, set_id long")
         live = written(nodes.join(sizes, "path"), "paths")
-        if level == 0:  # signatures of the other sets aren't needed any more
-            sets = written(sets.join(live.select("set_id").distinct(), "set_id", "left_semi"), "live-sets")
+        if level == 0:  # signatures of the other sets aren't needed any more, nor are the upper halves
+            sets = written(sets.select("set_id", "signature").join(live.select("set_id").distinct(), "set_id", "left_semi"), "live-sets")
+            wanted.destroy()
         # Buckets of the same few sets, as most runs give them, are compared once.
         hashed = [F.bit_xor(F.xxhash64("set_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
         once = live.filter(F.col("n") <= SMALL).groupBy("path", "n").agg(*hashed).groupBy("n", "x1", "x2").agg(F.min("path").alias("path")).select("path")
@@ -231,11 +275,12 @@ def nominate(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
         shares = written(shares.withColumn("whole", (F.col("alike") >= ALIKE) | F.lit(level == DEPTH - 1)).select("path", "whole"), "path-shares")
         whole = large.join(shares.filter("whole"), "path").select("path", "set_id", "signature", "n")
         found.append(_blocked(whole, "path", "n", BLOCK).groupBy("path", "i", "j").applyInArrow(_compare_blocks(least), "a long, b long"))
+        if shares.filter("whole").count() == shares.count():
+            break
         nodes = written(split.join(shares.filter("not whole"), "path").select(F.col("child").alias("path"), "set_id"), "child-paths")
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    return edges
+        if level == SHALLOW - 1:
+            deep = nodes.select("set_id").distinct()
+    return found, deep, level + 1
 
 
 def _verify(threshold: float):
@@ -305,8 +350,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounded(spark)
     rows = written(signatures(docs, id_col, text_col, width), "signatures")
     named = F.struct(F.col("id"), F.col(ROW_KEY).alias("key"))
-    classes = written(rows.groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.min(named).alias("first"), F.first("signature").alias("signature")), "classes")
-    sets = classes.filter(F.length("signature") > 0).select("set_id", "signature")
+    classes = written(rows.groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.min(named).alias("first"), F.first("signature").alias("signature"), F.first("tops").alias("tops")), "classes")
+    sets = classes.filter(F.length("signature") > 0).select("set_id", "signature", "tops")
     near = connected_components(nominate(sets, threshold, recall), fresh(spark, "nominees"))
     near = written(near.select(F.col("node").alias("set_id"), "component"), "nominees")
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -333,5 +378,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = written(jaccard_join(docs, id_col, text_col, **options), "near-copies")
     losers = found.filter(~(F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col(ROW_KEY) == F.col("class_key")))).select(id_col, ROW_KEY)
     kept = without(docs, written(losers.distinct(), "near-losers"), id_col, text_col)
-    repeated = found.filter(F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col(ROW_KEY) == F.col("class_key"))).groupBy(id_col, ROW_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return kept.dropDuplicates([id_col, text_col]) if repeated.limit(1).count() else kept
+    own = F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col(ROW_KEY) == F.col("class_key"))
+    repeated = written(found.filter(own).groupBy(id_col, ROW_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated-rows")
+    if not repeated.limit(1).count():
+        return kept
+    # only the rows that repeat are shuffled
+    rest = without(kept, repeated, id_col, text_col)
+    keys = repeated.select(F.col(id_col).alias("__id"), F.col(ROW_KEY).alias("__key"))
+    marked = kept.withColumn(ROW_KEY, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = marked.join(keys, marked[id_col].eqNullSafe(keys["__id"]) & (marked[ROW_KEY] == keys["__key"]), "left_semi")
+    return rest.unionByName(same.dropDuplicates([id_col, ROW_KEY]).drop(ROW_KEY))

@@ -113,3 +113,56 @@ def test_awkward_and_empty(spark):
     left = sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect())
     assert len(left) == len(set(left)) == out.select("class_id", "class_key").distinct().count()
     assert J.jaccard_join(none(spark)).count() == 0 == J.keep_one(none(spark)).count()
+
+
+def test_runs_follow_the_depth():
+    """The probability of a miss, by simulation of the recursion on signatures of similarity 0.8."""
+    assert [J.runs_for(d, 0.8, 0.999) for d in (1, 3, 6)] == sorted(J.runs_for(d, 0.8, 0.999) for d in (1, 3, 6))
+    rng = np.random.default_rng(1)
+    n, depth = 3000, 5
+    one = rng.integers(0, 1 << 16, (n, J.SIZE)).astype(np.uint16)
+    two = np.where(rng.random((n, J.SIZE)) < 0.8, one, rng.integers(0, 1 << 16, (n, J.SIZE)).astype(np.uint16))
+    missed = np.ones(n, bool)
+    for run in range(J.runs_for(depth, 0.8, 0.99)):
+        rows, a, b = np.arange(n), *[np.full(n, J.mix(np.array([run + 1], np.uint64))[0])] * 2
+        for _ in range(depth):
+            (r1, c1, w1), (r2, c2, _) = J.children(a, one[rows], 0.8), J.children(b, two[rows], 0.8)
+            same = c1 == c2  # both walk the same nodes: their children stand in the same order
+            rows, a, b = rows[r1[same]], c1[same], c2[same]
+        missed[rows] = False
+    assert missed.mean() < 0.015
+
+
+def test_recall_in_deep_buckets(spark):
+    """Borderline pairs among many sets that share a long passage: paths are split until deep, and no link is lost."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    passage = [rng.choice(words) for _ in range(60)]
+    texts = []
+    for _ in range(150):  # half of each text is the passage
+        own = [rng.choice(words) for _ in range(60)]
+        texts.append(passage + own)
+        near = passage + own
+        for k in rng.sample(range(120), 2):
+            near[k] = rng.choice(words)
+        texts.append(near)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    old = {k: getattr(J, k) for k in ("SMALL", "SHALLOW")}
+    depths, inner = [], J._nominate
+
+    def seen(*a):
+        out = inner(*a)
+        depths.append((a[1], out[2]))
+        return out
+
+    J.SMALL, J.SHALLOW, J._nominate = 4, 1, seen
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in J.jaccard_join(docs).collect())
+    finally:
+        J.SMALL, J.SHALLOW, J._nominate = *old.values(), inner
+    assert max(d for _, d in depths) >= 3 and len(depths) > 1
+    want = sorted(brute(rows))
+    links = sum(n for *_, n in want)
+    assert links > 100 and sum(n for *_, n in got) >= 0.99 * links
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.99 * len(want)
