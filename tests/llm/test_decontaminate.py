@@ -1,3 +1,7 @@
+import random
+import re
+import string
+
 import pyarrow as pa
 
 from kindred.llm import decontaminate as D
@@ -100,3 +104,142 @@ def test_awkward_and_empty(spark):
     copies = spark.createDataFrame([(1, ITEM)] * 3 + [(None, ITEM)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0) for r in D.contaminated(copies, items).collect()) == [0, 1]
     assert D.keep(copies, items).count() == 0
+
+
+def tokens_of(text):
+    """Template tokens by plain Python: (code, slot value or None, kind, first word), and bare words."""
+    words, kinds, joins = [], [], []
+    opens = True
+    gap = True
+    for raw in re.findall(r"\S+|\n", text or ""):
+        if raw == "\n":
+            opens = True
+            continue
+        core = raw.strip(string.punctuation)
+        if core:
+            first = core[0]
+            kind = "number" if first.isdigit() else "name" if first.isupper() and not (opens and core.lower() in D.OPENERS) else "literal"
+            if kind == "literal" and kinds and kinds[-1] == "number" and core.lower() in D.UNITS:
+                kind = "unit"
+            joins.append(not (gap or opens or not raw.startswith(core)))
+            words.append(core.lower())
+            kinds.append(kind)
+        gap = not (core and raw.endswith(core))
+        tail = raw[raw.rindex(core) + len(core) :] if core else raw
+        opens = any(c in tail for c in ".!?:")
+    out = []
+    for i, (w, k) in enumerate(zip(words, kinds, strict=True)):
+        if k == "name" and out and out[-1][2] == "name" and joins[i]:
+            out[-1] = (out[-1][0], out[-1][1] + " " + w, "name", out[-1][3])
+        else:
+            out.append((w if k == "literal" else f"<{k}>", None if k == "literal" else w, k, i))
+    return out, words
+
+
+def brute(docs, items, width=8):
+    """(document, item) by all windows of all pairs."""
+    hits = set()
+    for d, text in docs:
+        dt, dw = tokens_of(text)
+        for b, item in items:
+            it, iw = tokens_of(item)
+            if not iw:
+                continue
+            places, typed_all, found = set(), set(), {}
+            for typed, own, other in ((True, it, dt), (False, iw, dw)):
+                w = min(width, len(own))
+                code = lambda x, typed=typed: x[0] if typed else x
+                index = {}
+                for i in range(len(own) - w + 1):
+                    part = own[i : i + w]
+                    if typed and sum(x[2] == "literal" for x in part) < D.LITERALS:
+                        continue
+                    place = own[i][3] if typed else i
+                    places.add(place)
+                    if typed:
+                        typed_all.add(place)
+                    start = i if typed else max(k for k, x in enumerate(it) if x[3] <= i)
+                    index.setdefault(tuple(map(code, part)), []).append((i, start, place))
+                for j in range(len(other) - w + 1):
+                    for i, start, place in index.get(tuple(map(code, other[j : j + w])), []):
+                        pos = j if typed else max(k for k, x in enumerate(dt) if x[3] <= j)
+                        pairs = frozenset((own[i + k][2], own[i + k][1], other[j + k][1]) for k in range(w) if own[i + k][1] is not None) if typed else frozenset()
+                        found.setdefault(pos - start, set()).add((place, typed, pairs))
+            left = set()
+            for windows in found.values():
+                fixed = {p for _, _, ps in windows for p in ps if p[0] != "number"}
+                clash = {p for p in fixed if any(((p[:2] == q[:2]) != ((p[0], p[2]) == (q[0], q[2]))) for q in fixed)}
+                same = lambda ps: all(a == b for _, a, b in ps)
+                good = {x for x in windows if same(x[2]) or not (x[2] & clash)}
+                if clash:
+                    verbatim = {x[0] for x in good if same(x[2])}
+                    row = any(all(p + k in verbatim for k in range(D.ENOUGH + 1)) for p in verbatim)
+                    if not row and not 2 * len({x[0] for x in good}) > len({x[0] for x in windows}):
+                        continue
+                left |= good
+            n, n_typed = {x[0] for x in left}, {x[0] for x in left if x[1]}
+            share = max(len(n) / len(places), len(n_typed) / len(typed_all) if typed_all else 0)
+            if left and (share >= D.COVERAGE or len(n) >= D.ENOUGH):
+                hits.add((d, b, len(n), len(places)))
+    return hits
+
+
+NAMES = ["Mary Ann Brown", "John Paul Smith", "Zoe", "Max", "Ida Lund", "Ömer", "Ольга"]
+
+
+def problem(rng, names, literals):
+    a, b = names
+    n = [rng.randint(2, 99) for _ in range(3)]
+    unit = rng.choice(["apples", "kg", "dollars"])
+    return literals.format(a=a, b=b, x=n[0], y=n[1], z=n[2], u=unit)
+
+
+def fixture(seed=0):
+    rng = random.Random(seed)
+    plots = [
+        "{a} has {x} {u} in the big cellar. Then {b} brings {y} more of them and {a} gives {z} of all these back to {b} on the next day.",
+        "On the way to the market {a} met {b}, who carried {x} {u} and sold {y} of them for {z} dollars to some other traders there.",
+        "Every week {a} walks {x} km while {b} walks {y} km along the same old river. How far do {a} and {b} walk in {z} weeks?",
+        "What is the sum of {x} and {y} if {z} is taken away before it is doubled?",
+    ]
+    items = [(k, problem(rng, rng.sample(NAMES, 2), plots[k])) for k in range(4)]
+    docs = []
+    for i in range(60):
+        k = rng.randrange(4)
+        one, two = rng.sample(NAMES, 2)
+        text = problem(rng, (one, rng.choice([one, two, two])), plots[k])
+        words = text.split()
+        cut = rng.choice([0, rng.randint(0, len(words) // 2)])
+        text = " ".join(words[cut : rng.choice([len(words), rng.randint(cut + 4, len(words))])])
+        docs.append((i, rng.choice(["", "Some words stand here.\n", "and then "]) + text + rng.choice(["", " and so on", ".\nNew line"])))
+    docs += [(100 + k, t) for k, t in items] + [(200, CLEAN), (201, None), (202, "")]
+    return docs, items
+
+
+def test_against_brute_force(spark):
+    """Names of other lengths, at the start of a sentence too, conflicting slots, cut texts; items that stand in several rows."""
+    docs, items = fixture()
+    want = brute(docs, items)
+    assert {d for d, *_ in want} >= {100, 101, 102, 103} and 20 < len(want) < 64
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for rows, bounds in ((items, {}), (items * 3, {}), (items * 2, {"most_broadcast": 0, "most_keys": 0})):
+        found = D.contaminated(frame, spark.createDataFrame(rows, "item_id long, text string"), **bounds).collect()
+        assert {(r["doc_id"], r["item_id"], r["n_windows"], r["item_windows"]) for r in found} == want
+
+
+def test_names_of_other_lengths(spark):
+    item = "In spring Mary Ann Brown lent 12 books to John Paul Smith and in the autumn he gave 5 of them back to her."
+    other = item.replace("Mary Ann Brown", "Zoe").replace("John Paul Smith", "Max").replace("12", "31")
+    starts = "Zoe owns 7 green hats and buys 3 more each month for the whole of a long year."
+    items = spark.createDataFrame([(1, item), (2, starts)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, other), (2, starts.replace("Zoe", "Mary Ann Brown").replace("7", "9")), (3, CLEAN)], "doc_id long, text string")
+    found = D.contaminated(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in found} == {(1, 1, True), (2, 2, True)}
+
+
+def test_part_of_an_item_in_several_rows(spark):
+    words = [f"w{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(23)]
+    docs = spark.createDataFrame([(1, "so " + " ".join(words[:11]) + " it is")], "doc_id long, text string")
+    for times in (1, 2, 5):
+        items = spark.createDataFrame([(1, " ".join(words))] * times, "item_id long, text string")
+        assert [(r["n_windows"], r["item_windows"]) for r in D.contaminated(docs, items).collect()] == [(4, 16)]
