@@ -34,4 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below the shared folder and read back: used many times, computed once, and its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes what ``written`` wrote for these tables, which nothing may read any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
