@@ -30,9 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-_ESCAPED = re.compile(r"\\(.)", re.S)
-_SEGMENT = re.compile(r"<turn ((?:[^\\<>]|\\.)*)>((?:[^\\<]|\\.|<(?:image|audio|document) \d+>)*)</turn>\n", re.S)
-_PLACEHOLDER = re.compile(r"\\.|<(image|audio|document) (\d+)>", re.S)
+from kindred.llm.runtime import bounded
+
+#: Characters that are unescaped at a time.
+STRETCH = 1 << 18
+HEAD, TAIL = "<turn ", "</turn>\n"
+#: What a role ends at, and what is not plain in a body; each is found in one pass, whatever the length.
+_ROLE_END = re.compile(r"\\[\\<>]|[\\<>]")
+_WORD = re.compile(r"\S+")
+_SPECIAL = re.compile(r"\\[\\<>]|<(image|audio|document) (\d+)>|[\\<]")
 
 
 def escape(text: str) -> str:
@@ -40,7 +46,18 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    """Without the marks of ``escape``, a stretch at a time."""
+    out, low = [], 0
+    while low < len(text):
+        high = min(low + STRETCH, len(text))
+        own = text[low:high]
+        if (len(own) - len(own.rstrip("\\"))) % 2 and high < len(text):  # not between a mark and what it stands before
+            high += 1
+            own = text[low:high]
+        # pairs of backslashes part a stretch first, so that no other mark can begin within one
+        out.append("\\".join(part.replace("\\<", "<").replace("\\>", ">") for part in own.split("\\\\")))
+        low = high
+    return "".join(out)
 
 
 @dataclass(frozen=True)
@@ -72,7 +89,7 @@ class PartVisitor:
 
     def visit_text(self, part: dict) -> None:
         text = part.get("text") or ""
-        self.tokens += len(text.split())
+        self.tokens += sum(1 for _ in _WORD.finditer(text))
         self.out.append(escape(text))
 
     def visit_image(self, part: dict) -> None:
@@ -106,6 +123,7 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     words of texts and what attachments expand to.
     """
     costs = costs or Costs()
+    bounded(turns.sparkSession)
     given = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(content_col).alias("content"))
     plain = isinstance(given.schema["content"].dataType, StringType)
     if not plain and not isinstance(given.schema["content"].dataType, ArrayType):
@@ -119,9 +137,9 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
                 for part in [{"type": "text", "text": content}] if plain else content or []:
                     visitor.visit(part)
                 body = "".join(visitor.out)
-                head = f"<turn {escape(role or '').replace('>', chr(92) + '>')}>"
+                head = f"{HEAD}{escape(role or '').replace('>', chr(92) + '>')}>"
                 end = len(head) + len(body) if role in loss_roles else len(head)
-                rows.append((f"{head}{body}</turn>\n", len(head), end, visitor.tokens, visitor.attachments))
+                rows.append((head + body + TAIL, len(head), end, visitor.tokens, visitor.attachments))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             made = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), _ARROW), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["conv_id", "turn", "role", "segment", "loss_start", "loss_end", "n_tokens", "attachments"])
@@ -131,17 +149,23 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
 
 def parse_segment(segment: str) -> tuple[str, list[tuple[str, str]]]:
-    """Role and parts of a segment: ('text', text) or (kind, place among attachments)."""
-    m = _SEGMENT.fullmatch(segment)
-    if m is None:
+    """Role and parts of a segment: ('text', text) or (kind, place among attachments).
+
+    One pass over the segment, in memory of a few times its length.
+    """
+    role_end = next((m.start() for m in _ROLE_END.finditer(segment, len(HEAD)) if len(m[0]) == 1), -1)
+    last = len(segment) - len(TAIL)
+    if not segment.startswith(HEAD) or not segment.endswith(TAIL) or not 0 <= role_end < last or segment[role_end] != ">":
         raise ValueError("not a turn")
-    parts, low, body = [], 0, m[2]
-    for p in _PLACEHOLDER.finditer(body):
+    parts, low = [], role_end + 1
+    for p in _SPECIAL.finditer(segment, low, last):
         if p[1]:
-            parts += [("text", unescape(body[low : p.start()]))] * (p.start() > low) + [(p[1], p[2])]
+            parts += [("text", unescape(segment[low : p.start()]))] * (p.start() > low) + [(p[1], p[2])]
             low = p.end()
-    parts += [("text", unescape(body[low:]))] * (low < len(body) or not parts)
-    return unescape(m[1]), parts
+        elif p.end() - p.start() == 1:
+            raise ValueError("not a turn")
+    parts += [("text", unescape(segment[low:last]))] * (low < last or not parts)
+    return unescape(segment[len(HEAD) : role_end]), parts
 
 
 DIGESTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

@@ -11,9 +11,10 @@ marks).  The raw model counts every document; the
 target model a bounded sample of labelled ones.  The noise of a row is a hash
 of its id, its text and a seed, so that a task that runs again draws it again.
 
-A document's weight is its mean log ratio times the square root of its number
-of n-grams: a sum grows with length whatever the text is, and a mean makes
-short texts extreme.
+A document's weight is the ratio itself: ``log_weight`` is the sum of the log
+ratios of its n-grams, and the noise is added to that.  ``tempered_weight``,
+beside it, is that sum over the square root of their number, for callers who
+want long texts to weigh less.
 
 Defined cases: null and empty texts have no n-gram and weight 0; a null label
 is no label; rows of equal id and text get equal noise and stay or go together,
@@ -27,18 +28,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from kindred.llm.kernels import SOLID, Words, chunks, mix, windows
-from kindred.llm.runtime import ROW_KEY, TEXT, bounded, map_texts, without, written
+from kindred.llm.runtime import ROW_KEY, TEXT, added, bounded, map_texts, without, written
 
 #: Places that n-grams are hashed to.
 BUCKETS = 1 << 16
-#: Rows of counts that the driver receives: one for each group of partitions.
-GROUPS = 64
 BINS = 4096
 
 
@@ -69,23 +67,14 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often each place occurs in all of ``docs``: partitions count, groups of partitions add, the driver adds GROUPS rows."""
+    """How often each place occurs in all of ``docs``."""
     bounded(docs.sparkSession)
 
     def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
         for _, data, at in chunks(batches, TEXT):
-            total += np.bincount(grams(data, at)[0], minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS]), pa.array([total.tobytes()])], ["g", "counts"])
+            yield np.bincount(grams(data, at)[0], minlength=BUCKETS)
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(BUCKETS, np.int64)
-        for x in table["counts"]:
-            total += np.frombuffer(x.as_py(), np.int64)
-        return pa.table({"counts": [total.tobytes()]})
-
-    rows = docs.select(F.col(text_col).alias(TEXT)).mapInArrow(count, "g long, counts binary").groupBy("g").applyInArrow(add, "counts binary").toArrow()
-    return sum((np.frombuffer(x.as_py(), np.int64) for x in rows["counts"]), np.zeros(BUCKETS, np.int64))
+    return added(docs.select(F.col(text_col).alias(TEXT)), count, BUCKETS)
 
 
 def labelled(labels: DataFrame, label: str = "quality", id_col: str = "doc_id") -> DataFrame:
@@ -111,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """(id, ROW_KEY, n_grams, log_weight, noisy_weight) of each row."""
+    """(id, ROW_KEY, n_grams, log_weight, tempered_weight, noisy_weight) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     keyed = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(ROW_KEY), F.col(text_col))
 
@@ -119,12 +108,12 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
         def work(data, at):
             place, row = grams(data, at)
             n = np.bincount(row, minlength=len(at) - 1)
-            total = np.bincount(row, weights=shared.value[place], minlength=len(at) - 1)
-            return [pa.array(n), pa.array(total / np.sqrt(np.maximum(n, 1)))]
+            total = np.bincount(row, weights=shared.value[place], minlength=len(at) - 1).astype(float)
+            return [pa.array(n), pa.array(total), pa.array(total / np.sqrt(np.maximum(n, 1)))]
 
         return work
 
-    out = StructType([StructField("n_grams", LongType()), StructField("log_weight", DoubleType())])
+    out = StructType([StructField("n_grams", LongType()), StructField("log_weight", DoubleType()), StructField("tempered_weight", DoubleType())])
     rows = map_texts(keyed, text_col, [id_col, ROW_KEY], out, start)
     uniform = (F.pmod(F.xxhash64(F.col(id_col).cast("string"), ROW_KEY, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return rows.withColumn("noisy_weight", F.col("log_weight") - F.log(-F.log(uniform)))
@@ -154,7 +143,7 @@ def kth_largest(rows: DataFrame, k: int, value: str) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", seed: int = 0, most_docs: int = 20_000) -> DataFrame:
-    """(id, ROW_KEY, n_grams, log_weight, noisy_weight, kept) of each row; ``share`` of all rows are kept, by default the share of good ones among those labelled."""
+    """(id, ROW_KEY, n_grams, log_weight, tempered_weight, noisy_weight, kept) of each row; ``share`` of all rows are kept, by default the share of good ones among those labelled."""
     ratio, good = fit(docs, labels, label, id_col, text_col, most_docs)
     rows = written(weigh(docs, ratio, id_col, text_col, seed), "weights")
     k = math.ceil(rows.count() * (good if share is None else share))

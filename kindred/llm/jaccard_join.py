@@ -34,12 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from kindred.llm.kernels import Words, chunks, lower, mix, powers, trim, windows
-from kindred.llm.runtime import ROW_KEY, TEXT, binaries, bounded, fresh, key_filter, map_texts, passes, without, written
+from kindred.llm.runtime import ROW_KEY, TEXT, binaries, bounded, drop, fresh, key_filter, map_texts, passes, without, written
 from kindred.operators.components import connected_components, forest
 
 WIDTH = 5
 #: Coordinates of a signature.
 SIZE = 64
+#: Bits of a coordinate and how they are kept.
+PARTS = {"lows": (0, np.uint8), "mids": (8, np.uint8), "tops": (16, np.uint16)}
 _FACTORS = mix(np.arange(1, SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Sets up to which a bucket is compared whole, sets in a block of the signature and of the exact comparison.
 SMALL, BLOCK, EXACT_BLOCK = 48, 1024, 512
@@ -72,13 +74,13 @@ def shingles(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.n
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, ROW_KEY, set_id, signature, tops) for each row; the signature of an empty text is empty.
+    """(id, ROW_KEY, set_id, lows, mids, tops) for each row: bits 0-7, 8-15 and 16-31 of each coordinate, empty for an empty text.
 
-    ``signature`` has the lower 16 bits of each coordinate and ``tops`` the upper: below the
-    roots, where the sets of a bucket have 32 bits in common, the lower are enough.
+    Roots split by 32 bits.  Below them the sets of a bucket have those in
+    common, and 16 bits are enough; 8 bits tell whether two sets are alike.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(ROW_KEY), F.col(text_col).alias("text"))
-    out = StructType([StructField("set_id", LongType()), StructField("signature", BinaryType()), StructField("tops", BinaryType())])
+    out = StructType([StructField("set_id", LongType()), *[StructField(c, BinaryType()) for c in PARTS]])
 
     def start():
         def work(data, at):
@@ -88,8 +90,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
             if len(has):
                 for k in range(SIZE):
                     least[:, k] = np.minimum.reduceat(((grams ^ _FACTORS[-1 - k]) * _FACTORS[k]) >> np.uint64(32), low[has])
-            ends = np.cumsum(high > low) * (2 * SIZE)
-            return [pa.array(whole.view(np.int64)), binaries(least.astype(np.uint16), ends), binaries((least >> np.uint32(16)).astype(np.uint16), ends)]
+            ends = np.cumsum(high > low) * SIZE
+            parts = [binaries((least >> np.uint32(shift)).astype(kind), ends * np.dtype(kind).itemsize) for shift, kind in PARTS.values()]
+            return [pa.array(whole.view(np.int64)), *parts]
 
         return work
 
@@ -130,8 +133,13 @@ def runs_for(depth: int, threshold: float, recall: float) -> int:
     return next(r for r in range(1, 1000) if (share * missed**r).sum() <= 1 - recall or threshold == 0)
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SIZE)
+def _matrix(column, part: str = "lows") -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), PARTS[part][1]).reshape(-1, SIZE)
+
+
+def _values(columns) -> np.ndarray:
+    """Coordinates of the signatures in columns lows, mids and, at the roots, tops."""
+    return sum(_matrix(c, part).astype(np.uint32) << np.uint32(PARTS[part][0]) for c, part in zip(columns, PARTS, strict=False))
 
 
 def _roots(runs: range, threshold: float, wanted=None):
@@ -140,7 +148,7 @@ def _roots(runs: range, threshold: float, wanted=None):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            sig = _matrix(batch.column(1)).astype(np.uint32) | _matrix(batch.column(2)).astype(np.uint32) << np.uint32(16)
+            sig = _values(batch.columns[1:])
             for r in runs:
                 root = np.full(len(ids), mix(np.array([r + 1], np.uint64))[0])
                 row, child, _ = children(root, sig, threshold)
@@ -156,7 +164,7 @@ def _roots(runs: range, threshold: float, wanted=None):
 def _split(threshold: float):
     def run(batches):
         for batch in batches:
-            sig, path = _matrix(batch.column(2)), batch.column(0).to_numpy().view(np.uint64)
+            sig, path = _values([batch.column(batch.schema.get_field_index(c)) for c in ("lows", "mids")]), batch.column(0).to_numpy().view(np.uint64)
             row, child, which = children(path, sig, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(path[row].view(np.int64)), pa.array(child.view(np.int64)), pa.array(batch.column(1).to_numpy()[row]), pa.array(which)], ["path", "child", "set_id", "which"])
 
@@ -205,7 +213,7 @@ def _compare_blocks(least: float):
 
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        ids, side, sig = t["set_id"].to_numpy(), t["side"].to_numpy(), _matrix(t["signature"])
+        ids, side, sig = t["set_id"].to_numpy(), t["side"].to_numpy(), _matrix(t["lows"])
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if (side == 1).any() else left
         a, b = [], []
@@ -229,57 +237,68 @@ def _blocked(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
     return dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "side": (F.col("mine") > F.col("other")).cast("int")}).drop("n_blocks", "mine", "other")
 
 
-def nominate(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Edges (a, b) among ``sets`` (set_id, signature, tops) that connect every pair which a run found."""
-    found, done, need = [], 0, runs_for(SHALLOW, threshold, recall)
+def nominate(sets: DataFrame, threshold: float, recall: float) -> list[DataFrame]:
+    """Written edges (a, b) among ``sets`` (set_id and PARTS) that connect every pair which a run found."""
+    found, done, need, own = [], 0, runs_for(SHALLOW, threshold, recall), None
     while done < need:
         edges, deep, depth = _nominate(sets, range(done, need), threshold)
         found += edges
         done, need = need, runs_for(max(depth, SHALLOW), threshold, recall)
+        if own is not None:
+            drop(own)
         if deep is None:
             break
         if done < need:
-            sets = written(sets.join(deep, "set_id", "left_semi"), "deep-sets")
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    return edges
+            sets = own = written(sets.join(deep, "set_id", "left_semi"), "deep-sets")
+        drop(deep)
+    return found
 
 
 def _nominate(sets: DataFrame, runs: range, threshold: float) -> tuple[list[DataFrame], DataFrame | None, int]:
-    """Edges that ``runs`` find, the sets that were in buckets split at depth SHALLOW (None: no such bucket), and the depth reached."""
+    """Edges that ``runs`` find, the sets that were in buckets split at depth SHALLOW (None: no such bucket), and the depth reached.
+
+    Edges are written level by level, and what a level needed is dropped then.
+    """
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / SIZE)
-    nodes = sets.mapInArrow(_roots(runs, threshold), "path long, set_id long")
-    found, deep = [], None
+    nodes, before = sets.mapInArrow(_roots(runs, threshold), "path long, set_id long"), []
+    found, deep, kept = [], None, None
     for level in range(DEPTH):
         sizes = written(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path-sizes")
         wanted = None
         if level == 0:  # most children of the roots are of one set: a filter keeps them from the join
             wanted = sets.sparkSession.sparkContext.broadcast(key_filter(sizes, "path"))
             nodes = sets.mapInArrow(_roots(runs, threshold, wanted), "path long, set_id long")
-        live = written(nodes.join(sizes, "path"), "paths")
+        paths = written(nodes.join(sizes, "path"), "paths")
         if level == 0:  # signatures of the other sets aren't needed any more, nor are the upper halves
-            sets = written(sets.select("set_id", "signature").join(live.select("set_id").distinct(), "set_id", "left_semi"), "live-sets")
+            sets = kept = written(sets.select("set_id", "lows", "mids").join(paths.select("set_id").distinct(), "set_id", "left_semi"), "live-sets")
             wanted.destroy()
         # Buckets of the same few sets, as most runs give them, are compared once.
         hashed = [F.bit_xor(F.xxhash64("set_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-        once = live.filter(F.col("n") <= SMALL).groupBy("path", "n").agg(*hashed).groupBy("n", "x1", "x2").agg(F.min("path").alias("path")).select("path")
-        live = live.filter(F.col("n") > SMALL).unionByName(live.filter(F.col("n") <= SMALL).join(written(once, "paths-once"), "path", "left_semi"))
-        small = live.filter(F.col("n") <= SMALL).join(sets, "set_id").select("path", "set_id", "signature")
-        found.append(small.repartition("path").sortWithinPartitions("path").mapInArrow(_compare_small(least), "a long, b long"))
+        few = paths.filter(F.col("n") <= SMALL)
+        once = written(few.groupBy("path", "n").agg(*hashed).groupBy("n", "x1", "x2").agg(F.min("path").alias("path")).select("path"), "paths-once")
+        small = few.join(once, "path", "left_semi").join(sets.select("set_id", "lows"), "set_id").select("path", "set_id", "lows")
+        edges = small.repartition("path").sortWithinPartitions("path").mapInArrow(_compare_small(least), "a long, b long")
         if not sizes.filter(F.col("n") > SMALL).limit(1).count():
+            found.append(written(edges, "edges"))
+            drop(*before, sizes, paths, once)
             break
-        large = written(live.filter(F.col("n") > SMALL).join(sets, "set_id").select("path", "set_id", "signature", "n"), "large-paths")
-        split = large.mapInArrow(_split(threshold), "path long, child long, set_id long, which long")
+        large = written(paths.filter(F.col("n") > SMALL).join(sets, "set_id").select("path", "set_id", "n", "lows", "mids"), "large-paths")
+        split = large.select("path", "set_id", "lows", "mids").mapInArrow(_split(threshold), "path long, child long, set_id long, which long")
         shares = split.filter("which = 0").groupBy("path", "child").agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg((F.sum(F.col("c") * F.col("c")) / F.pow(F.sum("c"), 2)).alias("alike"))
         shares = written(shares.withColumn("whole", (F.col("alike") >= ALIKE) | F.lit(level == DEPTH - 1)).select("path", "whole"), "path-shares")
-        whole = large.join(shares.filter("whole"), "path").select("path", "set_id", "signature", "n")
-        found.append(_blocked(whole, "path", "n", BLOCK).groupBy("path", "i", "j").applyInArrow(_compare_blocks(least), "a long, b long"))
-        if shares.filter("whole").count() == shares.count():
+        whole = large.join(shares.filter("whole"), "path").select("path", "set_id", "n", "lows")
+        blocks = _blocked(whole, "path", "n", BLOCK).groupBy("path", "i", "j").applyInArrow(_compare_blocks(least), "a long, b long")
+        found.append(written(edges.unionByName(blocks), "edges"))
+        more = shares.filter("not whole").limit(1).count()
+        if more:
+            nodes = written(split.join(shares.filter("not whole"), "path").select(F.col("child").alias("path"), "set_id"), "child-paths")
+            if level == SHALLOW - 1:
+                deep = written(nodes.select("set_id").distinct(), "deep-ids")
+        drop(*before, sizes, paths, once, large, shares)
+        before = [nodes]
+        if not more:
             break
-        nodes = written(split.join(shares.filter("not whole"), "path").select(F.col("child").alias("path"), "set_id"), "child-paths")
-        if level == SHALLOW - 1:
-            deep = nodes.select("set_id").distinct()
+    drop(kept)
     return found, deep, level + 1
 
 
@@ -322,9 +341,8 @@ def _verify(threshold: float):
     return run
 
 
-def member_shingles(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(text_id, text_key, shingles) of the rows of ``docs`` that pass the filter: all that members need."""
-    shared = docs.sparkSession.sparkContext.broadcast(key_filter(members))
+def member_shingles(docs: DataFrame, shared, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(text_id, text_key, shingles) of the rows of ``docs`` that pass the broadcast filter: all that members need."""
     texts = docs.select(F.col(id_col).alias("text_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias(TEXT))
 
     def run(batches):
@@ -348,25 +366,36 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     bounded(spark)
-    rows = written(signatures(docs, id_col, text_col, width), "signatures")
+    drawn = written(signatures(docs, id_col, text_col, width), "signatures")
     named = F.struct(F.col("id"), F.col(ROW_KEY).alias("key"))
-    classes = written(rows.groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.min(named).alias("first"), F.first("signature").alias("signature"), F.first("tops").alias("tops")), "classes")
-    sets = classes.filter(F.length("signature") > 0).select("set_id", "signature", "tops")
-    near = connected_components(nominate(sets, threshold, recall), fresh(spark, "nominees"))
+    classes = written(drawn.groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.min(named).alias("first"), *[F.first(c).alias(c) for c in PARTS]), "classes")
+    rows = written(drawn.select("id", ROW_KEY, "set_id"), "rows")
+    drop(drawn)
+    edges = nominate(classes.filter(F.length("lows") > 0).select("set_id", *PARTS), threshold, recall)
+    found = edges[0]
+    for more in edges[1:]:
+        found = found.unionByName(more)
+    near = connected_components(found, fresh(spark, "nominees"))
     near = written(near.select(F.col("node").alias("set_id"), "component"), "nominees")
+    drop(*edges)
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = written(near.join(sizes, "component").join(classes.select("set_id", "copies", "first"), "set_id").select("component", "n", "set_id", "copies", F.col("first.id").alias("id"), F.col("first.key").alias(ROW_KEY)), "members")
-    sketches = member_shingles(docs, members, id_col, text_col, width)
+    bits = spark.sparkContext.broadcast(key_filter(members))
+    sketches = member_shingles(docs, bits, id_col, text_col, width)
     held = sketches.join(members, sketches["text_id"].eqNullSafe(members["id"]) & (sketches["text_key"] == members[ROW_KEY])).select("component", "n", "set_id", "copies", "shingles")
     held = written(held.dropDuplicates(["set_id"]), "member-shingles")
+    bits.destroy()
     checked = _blocked(held, "component", "n", EXACT_BLOCK).groupBy("component", "i", "j").applyInArrow(_verify(threshold), "set_id long, other long, links long")
     checked = written(checked, "links")
+    drop(near, members, held)
     roots = connected_components(checked.filter("other is not null").select("set_id", "other"), fresh(spark, "classes"))
     links = checked.groupBy("set_id").agg(F.sum("links").alias("links"))
-    joined = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").join(links, "set_id", "left")
+    joined = classes.select("set_id", "copies", "first").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").join(links, "set_id", "left")
     joined = written(joined.select("set_id", "copies", "first", F.coalesce("component", "set_id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "linked")
+    drop(classes, checked)
     heads = joined.groupBy("root").agg(F.min("first").alias("head"))
     final = written(joined.join(heads, "root").select("set_id", "head", (F.col("links") + F.col("copies") - 1).alias("n_links")), "class-heads")
+    drop(joined)
     return rows.join(final, "set_id").select(F.col("id").alias(id_col), ROW_KEY, F.col("head.id").alias("class_id"), F.col("head.key").alias("class_key"), "n_links")
 
 

@@ -1,20 +1,24 @@
 """Language-model scoring by subword lattices.
 
-The pieces are those of an existing vocabulary; their probabilities come from
-the training documents, by expectation maximisation over all segmentations of
-the distinct training words.  A word's probability is the sum over all its
-segmentations into pieces: forward recursion in log space over the lattice of
-pieces, so that no single segmentation has to be right.  No piece reaches over
-a word's end, so that the recursion runs once for each distinct word; the sum
-over a text's words and its end is ``lattice_score``.
-
-``score`` adds two things to that lattice.  A training word has one more edge,
-over the whole word, with its discounted frequency; what the discount takes
-away weights the pieces.  And a text's tokens are drawn from an urn that starts
-as STRENGTH tokens of that distribution and gets each token back twice, so that
-a text's own words become likelier as it goes on; the probability of a text
-doesn't depend on the order of its tokens.  Both keep probabilities summing to
-one at most.
+The pieces are those of an existing vocabulary.  A word's probability is the
+sum over all its segmentations into pieces: forward recursion in log space over
+the lattice of pieces, so that no single segmentation has to be right.  No
+piece reaches over a word's end, so that the recursion runs once for each
+distinct word; the sum over a text's words and its end is ``score``, the log of
+the marginal probability of the text.
+
+The vocabulary's own scores weight the pieces if they are log probabilities.
+If they are merge ranks, as in a BPE model, they say nothing about likelihood:
+the pieces' counts in the training words, segmented by the model's own rule,
+stand in for them.  Expectation maximisation over all segmentations of the
+training words, each as often as it occurs, then fits the weights.
+
+``urn_score`` is another model of the same texts, for comparison.  A training
+word has one more edge, over the whole word, with its discounted frequency;
+what the discount takes away weights the pieces.  And a text's tokens are drawn
+from an urn that starts as STRENGTH tokens of that distribution and gets each
+token back twice, so that a text's own words become likelier as it goes on.
+Both keep probabilities summing to one at most.
 
 Beside them stands a base score, add-one smoothed word frequencies.
 
@@ -39,13 +43,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.kernels import LOWER, Lookup, Words, chunks, mix, powers
-from kindred.llm.runtime import TEXT, bounded, written
+from kindred.llm.runtime import TEXT, added, bounded, drop, written
 
 #: Most words that are broadcast (24 bytes each, and a table of four times as many places).
 HEAD = 1 << 20
 SPACE_MARK = "▁".encode()
-#: Rows of counts that the driver receives at most.
-GROUPS = 16
 #: Added to the count of every piece.
 SMOOTH = 0.1
 #: Taken from the count of every training word.
@@ -211,11 +213,7 @@ def count_words(docs: DataFrame, text_col: str, train_col: str, most: int = 300_
 
 
 def piece_counts(words: DataFrame, model: bytes) -> np.ndarray:
-    """How often each piece of the vocabulary occurs in the distinct training words, segmented by the model's own rule.
-
-    As in other back-off models, words count once: the pieces stand in for
-    what whole-word frequencies don't cover.
-    """
+    """How often each piece of the vocabulary occurs in the training words, segmented by the model's own rule."""
     shared = words.sparkSession.sparkContext.broadcast(model)
     import sentencepiece
 
@@ -225,47 +223,42 @@ def piece_counts(words: DataFrame, model: bytes) -> np.ndarray:
         import sentencepiece
 
         pieces = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
-        total = np.zeros(size)
         for batch in batches:
-            for ids in pieces.encode(batch.column(0).to_pylist(), num_threads=1):
-                np.add.at(total, ids, 1.0)
-        yield total
-
-    return added(words.filter("c > 0").select("word"), run, size)
-
-
-def added(rows: DataFrame, run, size: int) -> np.ndarray:
-    """Sum of the vectors of ``size`` numbers that ``run`` gives for each partition: by groups of partitions first, then GROUPS rows on the driver."""
-
-    def vectors(batches):
-        for x in run(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS]), pa.array([np.asarray(x, float).tobytes()])], ["g", "x"])
-
-    def add(table: pa.Table) -> pa.Table:
-        return pa.table({"x": [sum((np.frombuffer(x.as_py()) for x in table["x"]), np.zeros(size)).tobytes()]})
+            found = pieces.encode(batch.column(0).to_pylist(), num_threads=1)
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter((i for x in found for i in x), np.int64, int(n.sum()))
+            yield np.bincount(ids, weights=np.repeat(batch.column(1).to_numpy(), n), minlength=size)
 
-    found = rows.mapInArrow(vectors, "g long, x binary").groupBy("g").applyInArrow(add, "x binary").toArrow()
-    return sum((np.frombuffer(x.as_py()) for x in found["x"]), np.zeros(size))
+    out = added(words.filter("c > 0").select("word", "c"), run, size)
+    shared.destroy()
+    return out
 
 
 def refine(words: DataFrame, start: Vocabulary, ends: float, rounds: int) -> Vocabulary:
-    """Expectation maximisation over all segmentations of the distinct training words."""
-    seen = words.filter("c > 0").select("word")
+    """Expectation maximisation over all segmentations of the training words (word, c)."""
+    seen = words.filter("c > 0").select("word", "c")
     for _ in range(rounds):
         shared = words.sparkSession.sparkContext.broadcast(start)
 
         def run(batches, shared=shared):
-            total = np.zeros(len(shared.value.edge_logs))
             for batch in batches:
                 for low in range(0, batch.num_rows, 20_000):
-                    part = [w.encode() for w in batch.column(0).slice(low, 20_000).to_pylist()]
-                    total += shared.value.expected_counts(part, np.ones(len(part)))
-            yield total
+                    part = batch.slice(low, 20_000)
+                    yield shared.value.expected_counts([w.encode() for w in part.column(0).to_pylist()], part.column(1).to_numpy())
 
-        start = start.weighted(added(seen, run, len(start.edge_logs)), ends)
+        counts = added(seen, run, len(start.edge_logs))
+        shared.destroy()
+        start = start.weighted(counts, ends)
     return start
 
 
+def own_weights(source) -> np.ndarray | None:
+    """Probabilities of a vocabulary's pieces by its own scores; None if those are ranks."""
+    scores = np.array([source.get_score(i) for i in range(source.get_piece_size())])
+    ranks = scores[scores < 0]
+    return None if len(ranks) and (ranks == np.round(ranks)).all() else np.exp(scores)
+
+
 def vocabulary(model: bytes, counts: np.ndarray, ends: float) -> Vocabulary:
     import sentencepiece
 
@@ -282,8 +275,17 @@ def vocabulary(model: bytes, counts: np.ndarray, ends: float) -> Vocabulary:
     return Vocabulary(pieces, np.array(own, float), single, float(ends))
 
 
+def fit(words: DataFrame, model: bytes, ends: int, rounds: int) -> Vocabulary:
+    """Pieces of ``model`` weighted by the training words (word, c) and the number of text ends."""
+    import sentencepiece
+
+    own = own_weights(sentencepiece.SentencePieceProcessor(model_proto=model))
+    start = vocabulary(model, piece_counts(words, model), ends) if own is None else vocabulary(model, own * max(ends, 1), ends)
+    return refine(words, start, ends, rounds)
+
+
 def score(docs: DataFrame, model_path: str, train_col: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
-    """(id, train_col, n_tokens, n_known, train_tokens, base_score, score, lattice_score) of each row; scores are log10 probabilities.
+    """(id, train_col, n_tokens, n_known, train_tokens, base_score, score, urn_score) of each row; scores are log10 probabilities.
 
     ``train_col`` (boolean, null is false) marks the rows to learn from.
     """
@@ -298,8 +300,7 @@ def score(docs: DataFrame, model_path: str, train_col: str, id_col: str = "doc_i
     base = lambda c: np.log10((np.asarray(c) + 1.0) / (float(n) + v + 1))
     weight = DISCOUNT * v / n if n else 1.0
     whole = lambda c: np.maximum(np.asarray(c, float) - DISCOUNT, 0) / max(n, 1)
-    by_type = ends * (v - (ends > 0)) / n if n else 0.0  # text ends for each distinct word, as for each word
-    lattice = spark.sparkContext.broadcast(refine(counted, vocabulary(model, piece_counts(counted, model), by_type), by_type, rounds))
+    lattice = spark.sparkContext.broadcast(fit(counted, model, ends, rounds))
 
     def word_scores(batches):
         for batch in batches:
@@ -310,6 +311,7 @@ def score(docs: DataFrame, model_path: str, train_col: str, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([pa.array(word_hashes(words).view(np.int64)), *part.columns[1:], pa.array(logs)], ["hash", "c", "a", "log"])
 
     words = written(counted.select("word", "c", "a").mapInArrow(word_scores, "hash long, c long, a long, log double"), "word-scores")
+    drop(counted)
     least = -(-(total["a"] or 0) // HEAD)
     head = words.filter(F.col("a") >= max(least, 1)).select("hash", "c", "log").toArrow()  # HEAD rows at most
     shared = spark.sparkContext.broadcast((head["hash"].to_numpy().view(np.uint64), head["c"].to_numpy(), head["log"].to_numpy()) if head.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)))
@@ -360,6 +362,6 @@ def score(docs: DataFrame, model_path: str, train_col: str, id_col: str = "doc_i
         plus("known", "more_known").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         plus("base", "more_plain").alias("base_score"),
-        plus("drawn", "more_drawn").alias("score"),
-        plus("log", "more_log").alias("lattice_score"),
+        plus("log", "more_log").alias("score"),
+        plus("drawn", "more_drawn").alias("urn_score"),
     )

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.runtime import ROW_KEY, written
+from kindred.llm.runtime import ROW_KEY, without, written
 
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -153,17 +153,16 @@ def quality_rules(docs: DataFrame, host: str = "source", text_col: str = "text",
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
-def keep(docs: DataFrame, host: str = "source", text_col: str = "text", threshold: float = 0.5, least_docs: int = 20) -> DataFrame:
+def keep(docs: DataFrame, host: str = "source", text_col: str = "text", threshold: float = 0.5, least_docs: int = 20, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` that the rules keep, with the columns of ``docs``.
 
-    The rules run once: rows are written with the rules that they fail, texts
-    that fail the base rule without their characters.  Host rates read the
-    flags alone, and no text is shuffled.
+    The rules run once: ids, hashes of texts and the rules they fail are
+    written, without texts, and ``docs`` are filtered by them.
     """
-    marks = let(measures(F.coalesce(F.col(text_col), F.lit(""))), lambda m: F.struct(*[rule(lambda c, m=m: m[c]).alias(k) for k, rule in RULES.items()]))
-    marked = docs.withColumn("__qr_fails", marks)
-    whole = F.when(~F.col("__qr_fails.base"), F.col(f"`{text_col}`")).alias(text_col)
-    marked = written(marked.select(*[whole if c == text_col else F.col(f"`{c}`") for c in docs.columns], "__qr_fails"), "rule-failures")
-    side = rejected_hosts(marked, host, threshold, least_docs, {k: F.col(f"__qr_fails.{k}") for k in RULES})
-    good = marked.filter(~F.col("__qr_fails.base"))
-    return good.join(side, good[host] == side["__qr_host"], "left_anti").drop("__qr_fails")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marks = let(measures(text), lambda m: F.struct(*[rule(lambda c, m=m: m[c]).alias(k) for k, rule in RULES.items()]))
+    slim = docs.select(F.col(id_col), F.col(host).alias("__qr_source"), F.xxhash64(text).alias(ROW_KEY), marks.alias("__qr_fails"))
+    slim = written(slim, "rule-failures")
+    side = rejected_hosts(slim, "__qr_source", threshold, least_docs, {k: F.col(f"__qr_fails.{k}") for k in RULES})
+    good = docs.join(side, docs[host] == side["__qr_host"], "left_anti")
+    return without(good, slim.filter("__qr_fails.base").select(id_col, ROW_KEY), id_col, text_col)

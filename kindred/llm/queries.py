@@ -54,7 +54,7 @@ def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance of every document against those labelled good, and whether it is in the sample."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = importance.resample(docs, table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_grams", "log_weight", "noisy_weight", "kept")
+    return out.select("doc_id", "n_grams", "log_weight", "tempered_weight", "noisy_weight", "kept")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +71,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log10 probability of every document under the lattice model and under word frequencies."""
+    """Log10 probability of every document under the lattice model, and under two models of whole words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~toxicity.held_out(F.col("doc_id"), 7)).alias("train"))
     out = lattice.score(docs, public_tokenizers.path("piece_bpe_32k.model"), "train")
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "urn_score")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

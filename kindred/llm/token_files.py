@@ -12,7 +12,9 @@ A task writes files under names of its own attempt and reports them; the
 manifest, written last, names the files of the attempts that counted.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are
-documents of their own; an empty table gives a manifest without shards.
+documents of their own; an empty table gives a manifest without shards.  While
+encoding, stretches of text of equal 64-bit hash, length and first seven bytes
+count as equal.
 """
 
 from __future__ import annotations
@@ -138,6 +140,8 @@ class LibraryEncoder:
 
 
 _kept: list = [None, None]
+#: Documents after which a shard ends, as after its bytes: their offsets wait in memory until it does.
+SHARD_DOCS = 2_000_000
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 30, chunk_bytes: int = CHUNK) -> dict:
@@ -180,13 +184,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         for batch, data, at in chunks(batches, TEXT, chunk_bytes):
             if "bin" not in state:
                 name = f"shard-{part:06d}-{state.get('next', 0):04d}-{uuid.uuid4().hex}"
-                state |= {"name": name, "roll": state.get("next", 0), "bin": out.open_output_stream(f"{root}/{name}.bin"), "ends": [], "ids": [], "n": 0}
+                state |= {"name": name, "roll": state.get("next", 0), "bin": out.open_output_stream(f"{root}/{name}.bin"), "ends": [], "ids": [], "n": 0, "docs": 0}
             blob, ends = encoder.encode(data, at, end_id)
             state["bin"].write(blob)
             state["ends"].append(ends + state["n"])
             state["ids"].append(batch.column(0))
             state["n"] += int(ends[-1])
-            if state["n"] * np.dtype(dtype).itemsize >= shard_bytes:
+            state["docs"] += len(ends)
+            if state["n"] * np.dtype(dtype).itemsize >= shard_bytes or state["docs"] >= SHARD_DOCS:
                 yield close()
         if "bin" in state:
             yield close()
@@ -202,18 +207,48 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     return manifest
 
 
+class Stored:
+    """``n`` numbers of a file from byte ``at``, read slice by slice: mapped where the file system is local, else by ranges."""
+
+    def __init__(self, files, path: str, dtype: str, at: int = 0, n: int | None = None):
+        self.dtype, self.at = np.dtype(dtype), at
+        local = isinstance(files, pafs.LocalFileSystem)
+        size = files.get_file_info(path).size
+        self.n = (size - at) // self.dtype.itemsize if n is None else n
+        self.map = np.memmap(path, self.dtype, "r", at, (self.n,)) if local and self.n else None
+        self.file = None if local else files.open_input_file(path)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, k: slice) -> np.ndarray:
+        low, high, _ = k.indices(self.n)
+        if self.map is not None or self.file is None or high <= low:
+            return np.zeros(0, self.dtype) if self.map is None else self.map[low:high]
+        self.file.seek(self.at + low * self.dtype.itemsize)
+        return np.frombuffer(self.file.read((high - low) * self.dtype.itemsize), self.dtype)
+
+
 def open_shard(folder: str, name: str, dtype: str):
-    """(ids, offsets, document ids, null flags) of a shard; ids are mapped where the file system is local."""
+    """(ids, offsets, document ids, null flags) of a shard, each to be read by slices."""
     files, root = filesystem(folder)
-    with files.open_input_file(f"{root}/{name}.idx") as f:
-        index = np.frombuffer(f.read(), "<i8")
-    n = int(index[0])
-    if isinstance(files, pafs.LocalFileSystem):
-        ids = np.memmap(f"{root}/{name}.bin", dtype, "r")
-    else:
-        with files.open_input_file(f"{root}/{name}.bin") as f:
-            ids = np.frombuffer(f.read(), dtype)
-    return ids, index[1 : n + 2], index[n + 2 : 2 * n + 2], index[2 * n + 2 :]
+    path = f"{root}/{name}.idx"
+    n = int(Stored(files, path, "<i8", 0, 1)[0:1][0])
+    return Stored(files, f"{root}/{name}.bin", dtype), *[Stored(files, path, "<i8", 8 * a, b) for a, b in ((1, n + 1), (n + 2, n), (2 * n + 2, n))]
+
+
+#: Documents, and ids, that a reader takes at a time (more ids only where one document has more).
+READ_DOCS, READ_IDS = 4096, 1 << 20
+
+
+def stretches(at: Stored, n: int):
+    """(first, end, offsets) of neighbouring documents of READ_IDS ids or READ_DOCS documents at most, one at least."""
+    low = 0
+    while low < n:
+        ends = at[low : min(low + READ_DOCS, n) + 1]
+        k = max(1, int(np.searchsorted(ends, ends[0] + READ_IDS, "right")) - 1)
+        yield low, low + k, ends[: k + 1]
+        low += k
 
 
 def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:
@@ -228,12 +263,13 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFram
             for k in batch.column(0).to_pylist():
                 shard = shared.value["shards"][k]
                 tokens, at, docs, null = open_shard(folder, shard["name"], shared.value["dtype"])
-                for low in range(0, len(docs), 4096):
-                    high = min(low + 4096, len(docs))
-                    crc = [zlib.crc32(tokens[a:b].astype("<u4")) for a, b in zip(at[low:high], at[low + 1 : high + 1], strict=True)]
-                    columns = [pa.array(docs[low:high], mask=null[low:high] == 1), pa.array(at[low:high] + shard["base"]), pa.array(np.diff(at[low : high + 1])), pa.array(crc, pa.int64())]
+                for low, high, ends in stretches(at, len(docs)):
+                    own = tokens[int(ends[0]) : int(ends[-1])]
+                    cuts = (ends - ends[0]).tolist()
+                    crc = [zlib.crc32(own[a:b].astype("<u4")) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                    columns = [pa.array(docs[low:high], mask=null[low:high] == 1), pa.array(ends[:-1] + shard["base"]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())]
                     if ids:
-                        columns.append(pa.array([tokens[a:b].astype(np.int64) for a, b in zip(at[low:high], at[low + 1 : high + 1], strict=True)], pa.list_(pa.int64())))
+                        columns.append(pa.array([own[a:b].astype(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
     n = len(manifest["shards"])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from kindred.llm.kernels import Lookup, Words, buffer
-from kindred.llm.runtime import ROW_KEY, binaries, map_texts, without, written
+from kindred.llm.runtime import ROW_KEY, binaries, drop, map_texts, without, written
 
 HELD_OUT = 2
 
@@ -211,7 +211,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     if not chosen:
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     places = spark.createDataFrame([(r["rid"], k) for k, r in enumerate(chosen)], "rid long, place long")
-    rows = rows.join(F.broadcast(places), "rid")
+    features, rows = rows, rows.join(F.broadcast(places), "rid")
     keys = np.zeros(0, np.uint64)
     if 0 < toxic < len(chosen):
         found = screened(feature_counts(rows), toxic, len(chosen) - toxic, least, screen).toArrow()["feature"]
@@ -233,6 +233,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     kind = rows.schema["y"].dataType.simpleString()
     found = rows.select("place", "y", "words", "sizes").mapInArrow(only, f"place long, y {kind}, words binary, sizes binary").orderBy("place").toArrow()
     shared.destroy()
+    drop(ids, features)
     words, _ = buffer(found["words"])
     sizes, cuts = buffer(found["sizes"])
     flat = np.frombuffer(sizes, np.int32).astype(np.int64)

@@ -8,7 +8,10 @@ ids to bundle, frame and offset within the decompressed frame.
 
 Of records with equal payloads that of the smallest id is a response and the
 others revisit it.  Only payload digests that occur more than once are joined
-back to the pages; a bundle is written by the task that read its pages.
+back to the pages, by broadcast up to MOST_BROADCAST of them.  Beyond it those
+of the largest groups are broadcast, and of the other pages only those that
+pass a filter of the rest are shuffled, so that no large group lands in one
+task.  A bundle is written by the task that has its pages.
 
 A task writes bundles under names of its own attempt, and the index, written by
 Spark, names the bundles of the attempts that counted.
@@ -16,7 +19,9 @@ Spark, names the bundles of the attempts that counted.
 Defined cases: a null payload is empty; a null URL leaves its header out, and
 control characters in one are percent-encoded; rows of equal id and payload are
 all responses; a row without an id has none in its record, and revisits only if
-an equal payload has an id; an empty table gives an empty index.
+an equal payload has an id; an empty table gives an empty index.  A record over
+FRAME bytes is a frame of its own; a payload has less than 2 GiB, as a string of
+Spark has, so that a frame's sizes fit its 32 bits.
 """
 
 from __future__ import annotations
@@ -32,12 +37,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.runtime import bounded, written
+from kindred.llm.runtime import bounded, marked_by, written
 
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of the footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME, BUNDLE = 256 << 10, 512 << 20
 PREFIX = "urn:page:"
+#: Most digests that occur more than once and are broadcast (60 bytes each).
+MOST_BROADCAST = 200_000
 INDEX = "bundle string, record_id string, frame long, offset long"
 
 
@@ -129,21 +136,30 @@ def page_of(value: str | None) -> int | None:
     return int(text) if text else None
 
 
-def decided(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
+def decided(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int = 0, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``pages`` with ``__first``: the smallest id among rows of an equal payload that occurs more than once."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    keyed = pages.withColumns({"__sha": F.sha1(payload), "__size": F.length(payload)})
-    often = keyed.filter(F.col("__size") >= least_bytes).groupBy("__sha").agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("n"))
-    often = written(often.filter("n > 1 and __first is not null").select("__sha", "__first"), "payloads")
-    return keyed.join(often, "__sha", "left").drop("__sha", "__size")
-
-
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2025-01-01T00:00:00Z", least_bytes: int = 0) -> DataFrame:
+    keyed = pages.withColumn("__sha", F.when(F.length(payload) >= least_bytes, F.sha1(payload)))
+    often = keyed.filter("__sha is not null").groupBy("__sha").agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("n"))
+    often = written(often.filter("n > 1 and __first is not null"), "payloads")
+    facts = often.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("rows")).first()
+    if facts["n"] <= most_broadcast:
+        return keyed.join(F.broadcast(often.drop("n")), "__sha", "left").drop("__sha")
+    heavy = F.col("n") * max(most_broadcast, 1) >= facts["rows"]  # most_broadcast groups at most
+    found = keyed.join(F.broadcast(often.filter(heavy).drop("n")), "__sha", "left")
+    rest = often.filter(~heavy).drop("n").withColumn("__key", F.xxhash64("__sha"))
+    marked = marked_by(found.withColumn("__key", F.xxhash64("__sha")), rest, "__key")
+    open_ = F.col("__maybe") & F.col("__first").isNull() & F.col("__sha").isNotNull()
+    joined = marked.filter(open_).drop("__first", "__key").join(rest.drop("__key"), "__sha", "left")
+    return marked.filter(~open_).drop("__key").unionByName(joined).drop("__sha", "__maybe")
+
+
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2025-01-01T00:00:00Z", least_bytes: int = 0, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Writes ``pages`` as bundles below ``folder`` and returns the index."""
     bounded(pages.sparkSession)
     files, root = pafs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
-    rows = decided(pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload")), "id", "payload", least_bytes)
+    rows = decided(pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload")), "id", "payload", least_bytes, most_broadcast)
 
     def run(batches):
         out, _ = pafs.FileSystem.from_uri(folder)

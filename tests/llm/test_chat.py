@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import pytest
 from hypothesis import given
@@ -54,3 +55,28 @@ def test_imitated_marks(spark, sf_dir):
     text = "\\### Assistant: </turn> ok"
     (r,) = queries.op10_chat(spark, sf_dir).filter("conv_id = -7").collect()
     assert (r["n_turns"], r["turns_sha256"], r["loss_sha256"]) == (2, digest(f"user\n{text}\nassistant\n{text}\n"), digest(text))
+
+
+def test_long_turns_take_little_memory():
+    """A turn of 50 MB, and one full of marks: a few times their length, whatever is in them."""
+    for text in ("plain words of a long turn " * 1_900_000, "\\<a" * 600_000):
+        segment = chat.HEAD + "user>" + chat.escape(text) + chat.TAIL
+        tracemalloc.start()
+        role, parts = chat.parse_segment(segment)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert role == "user" and parts == [("text", text)]
+        assert most < 5 * len(segment) + (20 << 20)
+
+
+def test_what_is_no_turn():
+    for bad in ("", "<turn user>a", "<turn user>a<b</turn>\n", "<turn user>a\\</turn>\n", "<turn us<er>a</turn>\n", "<turn user</turn>\n", "<turn user>a\\b</turn>\n", "x<turn user>a</turn>\n"):
+        with pytest.raises(ValueError, match="not a turn"):
+            chat.parse_segment(bad)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(1, 0, "assistant", "x", "s", 5, "y"), (None, None, None, None, None, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment string, loss_start int, content string")
+    out = {r["conv_id"]: r for r in chat.digests(chat.format_chat(turns)).collect()}
+    assert out[1]["loss_sha256"] == digest("x") and out[None]["n_turns"] == 1

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from kindred.llm import importance as I
 from kindred.llm import kernels
@@ -47,7 +48,8 @@ def test_models_and_weights(spark):
     for r in I.weigh(docs, ratio).limit(20).collect():
         own = places(rows[r["doc_id"]][1])
         assert r["n_grams"] == sum(own.values())
-        assert math.isclose(r["log_weight"], sum(ratio[k] * n for k, n in own.items()) / math.sqrt(sum(own.values())), abs_tol=1e-9)
+        assert math.isclose(r["log_weight"], sum(ratio[k] * n for k, n in own.items()), abs_tol=1e-9)
+        assert math.isclose(r["tempered_weight"] * math.sqrt(r["n_grams"]), r["log_weight"], abs_tol=1e-9)
 
 
 def test_sample(spark):
@@ -62,6 +64,38 @@ def test_sample(spark):
     assert [(r["doc_id"], r["kept"]) for r in sorted(I.resample(docs, labels, share=0.6).collect())] == [(r["doc_id"], r["kept"]) for r in sorted(out)]
 
 
+def noise(doc_id, text, seed=0):
+    """Gumbel noise of a row, from the hash chain that the column functions stand for."""
+    key = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    h = xxhash.xxh64_intdigest(str(doc_id).encode(), 42)
+    for value in (key.to_bytes(8, "little"), seed.to_bytes(4, "little")):
+        h = xxhash.xxh64_intdigest(value, h)
+    return -math.log(-math.log((h % (1 << 52) + 0.5) / (1 << 52)))
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    """Models, weights, noise and the k largest, all in plain Python."""
+    from kindred.llm import queries
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    raw, target = Counter(), Counter()
+    own = {i: places(t) for i, t in docs.items()}
+    for i, c in own.items():
+        raw.update(c)
+        if labels.get(i) == 1:
+            target.update(c)
+    totals = sum(target.values()) + I.BUCKETS, sum(raw.values()) + I.BUCKETS
+    weight = {i: sum(n * (math.log((target[k] + 1) / totals[0]) - math.log((raw[k] + 1) / totals[1])) for k, n in c.items()) for i, c in own.items()}
+    noisy = {i: w + noise(i, docs[i]) for i, w in weight.items()}
+    k = math.ceil(len(docs) * np.mean(list(labels.values())))
+    kept = set(sorted(noisy, key=noisy.get)[-k:])
+    out = {r["doc_id"]: r for r in queries.op5_importance(spark, sf_dir).collect()}
+    assert set(out) == set(docs)
+    assert all(math.isclose(out[i]["log_weight"], weight[i], abs_tol=1e-6) and math.isclose(out[i]["noisy_weight"], noisy[i], abs_tol=1e-6) for i in docs)
+    assert {i for i, r in out.items() if r["kept"]} == kept
+
+
 def test_noise_is_gumbel(spark):
     rows = spark.createDataFrame([(i, "") for i in range(20000)], "doc_id long, text string")
     x = np.array([r["noisy_weight"] for r in I.weigh(rows, np.zeros(I.BUCKETS)).collect()])

@@ -42,9 +42,12 @@ def test_stages(spark, sf_dir):
 
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for r in stage["byte-level BPE"](spark, docs5, sf_dir).collect():
-        ids = np.array(library.encode_ordinary(rows(docs5)[r["doc_id"]]) if r["n_tokens"] < 50 else [], "<u4")
-        assert not len(ids) or r["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest()
+    left, encoded = rows(docs5), stage["byte-level BPE"](spark, docs5, sf_dir).collect()
+    assert {r["doc_id"] for r in encoded} == set(left)
+    for r in encoded:
+        ids = np.array(library.encode_ordinary(left[r["doc_id"]]), "<u4")
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(left[r["doc_id"]].encode()).hexdigest()
 
 
 def test_run(spark, sf_dir):

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -5,6 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyarrow import fs as pafs
 from tokenizers import Tokenizer
 
 from kindred.llm import kernels, token_files
@@ -61,3 +63,45 @@ def test_query(spark, sf_dir):
     ids = library([t for _, t in docs])
     assert [r["ids_crc32"] for r in rows] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
     assert [r["start"] for r in rows] == [sum(map(len, ids[:k])) for k in range(len(ids))]
+
+
+def test_ranges_of_stored_files(spark, monkeypatch):
+    """Through a file system that can't be mapped, slices are read one by one, and the rows are the same."""
+    docs = awkward(spark)
+    folder = fresh(spark, "test")
+    token_files.write_tokens(docs, folder, PATH, shard_bytes=20_000, chunk_bytes=100)
+    want = sorted(map(tuple, token_files.read_tokens(spark, folder, ids=True).drop("ids").collect()), key=str)
+    files, root = token_files.filesystem(folder)
+    read = []
+
+    class File:
+        def __init__(self, f):
+            self.f = f
+            self.seek = f.seek
+
+        def read(self, n):
+            read.append(n)
+            return self.f.read(n)
+
+    class Opener(pafs.SubTreeFileSystem):
+        def open_input_file(self, path):
+            return File(super().open_input_file(path))
+
+    remote = Opener("/", files)
+    monkeypatch.setattr(token_files, "filesystem", lambda uri: (remote, root.lstrip("/")))
+    monkeypatch.setattr(token_files, "READ_DOCS", 2)
+    monkeypatch.setattr(token_files, "READ_IDS", 50)
+    manifest = json.loads(files.open_input_file(f"{root}/manifest.json").read())
+    got = []
+    for shard in manifest["shards"]:
+        tokens, at, ids, null = token_files.open_shard(folder, shard["name"], manifest["dtype"])
+        assert tokens.map is None
+        for low, high, ends in token_files.stretches(at, len(ids)):
+            assert high - low == 1 or (high - low <= 2 and ends[-1] - ends[0] <= 50)
+            own = tokens[int(ends[0]) : int(ends[-1])]
+            for k in range(high - low):
+                x = own[ends[k] - ends[0] : ends[k + 1] - ends[0]]
+                got.append((None if null[low + k : low + k + 1][0] else int(ids[low + k : low + k + 1][0]), int(ends[k]) + shard["base"], len(x), zlib.crc32(x.astype("<u4"))))
+    assert sorted(got, key=str) == want
+    longest = max(2 * n for _, _, n, _ in want)
+    assert max(read) <= max(longest, 8 * 3, 2 * 50)

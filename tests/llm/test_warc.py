@@ -2,8 +2,10 @@ import base64
 import hashlib
 import io
 
+import pytest
 import zstandard
 from pyarrow import fs as pafs
+from pyspark.sql import functions as F
 
 from kindred.llm import warc
 from kindred.llm.runtime import fresh
@@ -18,9 +20,11 @@ def pages(spark):
     return spark.createDataFrame(rows(), "page_id long, url string, html string").withColumnRenamed("html", "html")
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("most", [warc.MOST_BROADCAST, 1, 0])
+def test_round_trip(spark, most):
+    """Digests by broadcast, and, beyond the bound, those of large groups by broadcast and the others by a join."""
     folder = fresh(spark, "test")
-    index = warc.write_warc(pages(spark), folder)
+    index = warc.write_warc(pages(spark).withColumn("payload", F.lit("other")).withColumn("id", F.lit(0)), folder, most_broadcast=most)
     assert index.count() == len(rows())
     first = {}
     for i, _, h in rows():
