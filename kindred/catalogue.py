@@ -7,12 +7,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kindred import report
 from kindred.functions import globs, text, vectors
 from kindred.operators import analyze, clusters, embed, rerank, similarity, windows
 from kindred.operators.components import connected_components
+from kindred.plans import engine
 from kindred.shared import shared_dir, table, written
 
 
@@ -139,8 +144,18 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l2_normalize_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scaled = F.transform("embedding", lambda x: x.cast("double") * F.col("vec_id"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(vectors.l2_normalize(scaled)), 6).alias("norm"))
+    """Norm and a weighted sum of the elements of normalised vectors; vec_id scales them, 0 makes a zero vector."""
+    scaled = F.transform("embedding", lambda x, i: x.cast("double") * F.col("vec_id") + i * F.signum("vec_id"))
+    unit = table(spark, sf_dir, "embeddings").select("vec_id", vectors.l2_normalize(scaled).alias("u"))
+    weighted = F.aggregate(F.transform("u", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return unit.select("vec_id", F.round(vectors.norm(F.col("u")), 6).alias("norm"), F.round(weighted, 4).alias("weighted"))
+
+
+L2_NORMALIZE = """
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda x, i: x::DOUBLE * vec_id + (i - 1) * sign(vec_id)) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM s)
+SELECT vec_id, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm,
+  round(CASE WHEN n > 0 THEN list_sum(list_transform(v, lambda x, i: x * i)) / n ELSE 0.0 END, 4) AS weighted FROM n"""
 
 
 def pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +183,51 @@ def agglomerative_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.cluster_vectors(table(spark, sf_dir, "embeddings"), shared_dir(spark), 0.35, key="vec_id").select("cluster", F.col("key").alias("vec_id"))
 
 
+#: Average linkage in every component at once: each step merges the most similar pair of each, until none is above the threshold.
+AGGLOMERATIVE_CLUSTERS = f"""
+WITH RECURSIVE {SIMILARITY_COMPONENTS.strip().removeprefix("WITH RECURSIVE").replace("\nSELECT vec_id, min(other) AS component FROM walk GROUP BY vec_id", ",\npart AS (SELECT vec_id, min(other) AS component FROM walk GROUP BY vec_id)")},
+step AS (
+  SELECT 0 AS k, p.component AS c, x.a, x.b, x.s, 1::BIGINT AS na, 1::BIGINT AS nb, false AS over
+  FROM ({PAIRS}) x JOIN part p ON p.vec_id = x.a JOIN part q ON q.vec_id = x.b AND q.component = p.component
+  UNION ALL
+  SELECT k + 1, c, least(i, j), greatest(i, j), sum(s * w) / sum(w), max(CASE WHEN i < j THEN ni ELSE nj END), max(CASE WHEN i < j THEN nj ELSE ni END), false
+  FROM (
+    SELECT k, c, s, CASE WHEN a = hi THEN lo ELSE a END AS i, CASE WHEN b = hi THEN lo ELSE b END AS j,
+      CASE WHEN a IN (lo, hi) THEN nlo + nhi ELSE na END AS ni, CASE WHEN b IN (lo, hi) THEN nlo + nhi ELSE nb END AS nj,
+      CASE WHEN a IN (lo, hi) THEN na WHEN b IN (lo, hi) THEN nb ELSE 1 END AS w, a = lo AND b = hi AS merged
+    FROM (
+      SELECT *, first_value(a) OVER best AS lo, first_value(b) OVER best AS hi, first_value(na) OVER best AS nlo, first_value(nb) OVER best AS nhi, first_value(s) OVER best AS top
+      FROM step WINDOW best AS (PARTITION BY c ORDER BY s DESC, a, b))
+    WHERE top > 0.35)
+  WHERE NOT merged GROUP BY k, c, least(i, j), greatest(i, j)),
+merges AS (
+  SELECT k, c, a AS lo, b AS hi FROM (SELECT *, row_number() OVER (PARTITION BY k, c ORDER BY s DESC, a, b) AS r FROM step) WHERE r = 1 AND s > 0.35),
+label AS (
+  SELECT -1 AS k, component AS c, vec_id, vec_id AS cluster FROM part
+  UNION ALL
+  SELECT l.k + 1, l.c, l.vec_id, CASE WHEN l.cluster = m.hi THEN m.lo ELSE l.cluster END FROM label l JOIN merges m ON m.c = l.c AND m.k = l.k + 1),
+final AS (SELECT vec_id, arg_max(cluster, k) AS cluster FROM label GROUP BY vec_id)
+SELECT cluster, vec_id FROM final WHERE cluster IN (SELECT cluster FROM final GROUP BY cluster HAVING count(*) >= 2)"""
+
+
+def cluster_vectors_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clustering with all its facts: members, sizes, files, lines, similarity, medoid and number of each cluster."""
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.concat(F.lit("f"), "label").alias("file_path"), F.lit(1).cast("long").alias("start_line"), (1 + F.col("vec_id") % 7).alias("end_line"), "embedding")
+    found, _ = engine.cluster_chunks(chunks, 0.35)
+    return found.select("cluster_id", F.round("similarity", 4).alias("similarity"), "size", "file_count", "total_lines", "representative", "first_member")
+
+
+CLUSTER_VECTORS_WHOLE = f"""{AGGLOMERATIVE_CLUSTERS.replace("SELECT cluster, vec_id FROM final WHERE", ", found AS (SELECT cluster, vec_id FROM final WHERE")}),
+mem AS (SELECT cluster, vec_id, embedding::DOUBLE[] AS e, label, 1 + vec_id % 7 AS n, row_number() OVER (PARTITION BY cluster ORDER BY vec_id) - 1 AS idx FROM found JOIN embeddings USING (vec_id)),
+sim AS (SELECT x.cluster, avg(list_cosine_similarity(x.e, y.e)) AS similarity FROM mem x JOIN mem y ON x.cluster = y.cluster AND x.vec_id < y.vec_id GROUP BY x.cluster),
+flat AS (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM mem),
+mean AS (SELECT cluster, list(x ORDER BY d) AS v FROM (SELECT cluster, d, avg(x) AS x FROM flat GROUP BY cluster, d) GROUP BY cluster),
+near AS (SELECT cluster, idx, row_number() OVER (PARTITION BY cluster ORDER BY round(list_cosine_similarity(e, v), 12) DESC, idx) AS r FROM mem JOIN mean USING (cluster)),
+facts AS (SELECT cluster, count(*) AS size, count(DISTINCT label) AS file_count, sum(n)::BIGINT AS total_lines FROM mem GROUP BY cluster)
+SELECT row_number() OVER (ORDER BY similarity DESC, cluster) AS cluster_id, round(similarity, 4) AS similarity, size, file_count, total_lines, idx AS representative, cluster AS first_member
+FROM facts JOIN sim USING (cluster) JOIN near USING (cluster) WHERE r = 1"""
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("cluster_id"), F.col("vec_id").alias("member_idx"), "embedding")
 
@@ -226,10 +286,6 @@ def cluster_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(spark, sf_dir).select("cluster_id", "first_member", "size", F.round("similarity", 6).alias("similarity"))
 
 
-def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _members(spark, sf_dir).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).filter("n >= 2")
-
-
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = _labelled(spark, sf_dir)
     best = clusters.medoids(members).select("cluster_id", F.col("member_idx").alias("rep")).join(members.select("cluster_id", F.col("member_idx").alias("rep"), F.col("embedding").alias("v")), ["cluster_id", "rep"])
@@ -313,17 +369,24 @@ def topk_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.top_regions(docs.select("source", "doc_id"), 3, "source", "doc_id")
 
 
+def _reported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    numbered = _numbered(spark, sf_dir).withColumn("position", F.col("cluster_id"))
+    members = _members(spark, sf_dir).join(numbered.select("cluster", "cluster_id"), "cluster")
+    return numbered, members.select("cluster_id", F.col("doc_id").alias("member_idx"), "file_path", "start_line", "end_line", F.lit("block").alias("chunk_type"), F.lit(None).cast("string").alias("name"), F.col("text").alias("content"), F.col("lang").alias("language"))
+
+
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = _numbered(spark, sf_dir)
-    members = _members(spark, sf_dir).join(numbered.select("cluster", "cluster_id", "similarity"), "cluster")
-    return members.select("cluster_id", F.round("similarity", 4).alias("similarity"), "doc_id", F.col("file_path").alias("file"), "start_line", "end_line", text.preview(F.col("text"), 80).alias("preview"))
+    rows = report.report_frame(*_reported(spark, sf_dir)).select("id", "similarity", F.explode("regions").alias("r"))
+    return rows.select(F.col("id").alias("cluster_id"), "similarity", F.col("r.member_idx").alias("doc_id"), "r.file", "r.start_line", "r.end_line", "r.preview")
 
 
 REPORT_ROWS = f"""WITH {NUMBERED} SELECT cluster_id, round(similarity, 4) AS similarity, doc_id, file_path AS file, 1 AS start_line, n::INT AS end_line, {_preview(80)} AS preview FROM m JOIN numbered USING (cluster)"""
 
 
 def report_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered(spark, sf_dir).agg(F.count(F.lit(1)).alias("cluster_count"), F.coalesce(F.sum("total_lines"), F.lit(0)).alias("total_duplicated_lines"))
+    """Totals of the JSON report."""
+    meta = json.loads(report.json_report(report.collect(*_reported(spark, sf_dir)), sf_dir, 0.8))["meta"]
+    return spark.createDataFrame([(meta["cluster_count"], meta["total_duplicated_lines"])], "cluster_count long, total_duplicated_lines long")
 
 
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,8 +429,46 @@ SELECT doc_id, 'Both regions read rows and add them up, case ' || doc_id AS comm
   worth AS worth_refactoring FROM a"""
 
 
+def _cache(spark: SparkSession, sf_dir: str) -> embed.VectorCache:
+    """A new cache with a row for each vector, its label as the model."""
+    cache = embed.VectorCache(spark, f"{shared_dir(spark)}/query-cache-{uuid.uuid4().hex}")
+    cache.upsert(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("file_path"), F.lit("h").alias("chunk_hash"), "embedding", F.concat(F.lit("m"), "label").alias("model_id")))
+    return cache
+
+
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("label").alias("models"), F.round(F.sum(F.size("embedding") * 4) / 1048576, 2).alias("mb"))
+    found = _cache(spark, sf_dir).stats()
+    return spark.createDataFrame([(found["entries"], ",".join(found["models"]))], "entries long, models string")
+
+
+def cache_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache holds after an upsert of rows that it has, a deleted model, a deleted file, and a vacuum."""
+    cache = _cache(spark, sf_dir)
+    rows = cache.read()
+    cache.upsert(rows.filter("cast(file_path AS int) % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: x * 2)))
+    cache.delete_model("m1")
+    cache.delete_file("7")
+    cache.vacuum()
+    scale = F.sqrt(F.aggregate(F.col("embedding"), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return cache.read().select(F.col("file_path").cast("long").alias("vec_id"), "model_id", F.round(scale, 3).alias("norm"))
+
+
+CACHE_EDITS = """
+SELECT vec_id, 'm' || label AS model_id, round(CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END * sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 3) AS norm
+FROM embeddings WHERE label <> 1 AND vec_id <> 7"""
+
+
+def embed_with_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's vector where even ids come from the cache, which holds vectors of another text for them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id").alias("file_path"), F.col("text").alias("embed_text"))
+    cache, model = embed.VectorCache(spark, f"{shared_dir(spark)}/query-cache-{uuid.uuid4().hex}"), embed.HashingEmbedder()
+    given = F.array(*[F.lit(2.0 if k == 0 else 0.0).cast("float") for k in range(model.dim)])
+    cache.upsert(docs.filter("doc_id % 2 = 0").select("file_path", F.sha2("embed_text", 256).alias("chunk_hash"), given.alias("embedding"), F.lit(model.model_id).alias("model_id")))
+    norm = F.sqrt(F.aggregate(F.col("embedding"), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return embed.embed_cached(docs, cache, "embed_text", model).select("doc_id", F.size("embedding").alias("dims"), F.round(norm, 3).alias("norm"))
+
+
+EMBED_WITH_CACHE = "SELECT doc_id, 256 AS dims, CASE WHEN doc_id % 2 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS norm FROM documents"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,8 +487,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANKS = [_ranked(s) for s in clusters.SORTS]
 ALL = [
     chunk_sliding_window, chunk_split_parts, chunk_identity, normalize_text, embedding_text, path_glob_filter, cache_hits, cache_misses, l2_normalize_check, pair_cosine,
-    similarity_components, agglomerative_clusters, cluster_similarity, cluster_medoid, cluster_stats, cluster_renumber, exact_duplicates, rerank_keep, rerank_summary, rerank_pairs,
-    *RANKS, pending_analyses, topk_regions, report_rows, report_meta, prompt_build, parse_analysis, cache_stats, flagship,
+    similarity_components, agglomerative_clusters, cluster_vectors_whole, cluster_similarity, cluster_medoid, cluster_stats, cluster_renumber, rerank_keep, rerank_summary, rerank_pairs,
+    *RANKS, pending_analyses, topk_regions, report_rows, report_meta, prompt_build, parse_analysis, cache_stats, cache_edits, embed_with_cache, flagship,
 ]
 
 
@@ -397,7 +498,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Name -> DuckDB SQL; clusterings (agglomerative_clusters, flagship) have none."""
+    """Name -> DuckDB SQL; ``flagship``, whose vectors SQL can't make, has none."""
     return {
         "chunk_sliding_window": CHUNK_SLIDING_WINDOW,
         "chunk_split_parts": CHUNK_SPLIT_PARTS,
@@ -407,14 +508,15 @@ def oracle_sql() -> dict[str, str]:
         "path_glob_filter": PATH_GLOB_FILTER,
         "cache_hits": "SELECT doc_id FROM documents WHERE doc_id % 2 = 0",
         "cache_misses": "SELECT doc_id FROM documents WHERE doc_id % 2 <> 0",
-        "l2_normalize_check": "SELECT vec_id, round(CASE WHEN vec_id = 0 THEN 0.0 ELSE sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) END, 6) AS norm FROM embeddings",
+        "l2_normalize_check": L2_NORMALIZE,
         "pair_cosine": f"SELECT a, b, round(s, 6) AS similarity FROM ({PAIRS}) WHERE s > 0.35",
         "similarity_components": SIMILARITY_COMPONENTS,
+        "agglomerative_clusters": AGGLOMERATIVE_CLUSTERS,
+        "cluster_vectors_whole": CLUSTER_VECTORS_WHOLE,
         "cluster_similarity": CLUSTER_SIMILARITY,
         "cluster_medoid": CLUSTER_MEDOID,
         "cluster_stats": f"WITH {NUMBERED} SELECT cluster, size, file_count, total_lines FROM c",
         "cluster_renumber": f"WITH {NUMBERED} SELECT cluster_id, first_member, size, round(similarity, 6) AS similarity FROM numbered",
-        "exact_duplicates": "SELECT sha256(text) AS cluster, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) >= 2",
         "rerank_keep": f"WITH {KEPT} SELECT cluster_id, member_idx, score, kept_idx FROM kept",
         "rerank_summary": RERANK_SUMMARY,
         "rerank_pairs": RERANK_PAIRS,
@@ -425,5 +527,7 @@ def oracle_sql() -> dict[str, str]:
         "report_meta": f"WITH {NUMBERED} SELECT count(*) AS cluster_count, coalesce(sum(total_lines), 0)::BIGINT AS total_duplicated_lines FROM numbered",
         "prompt_build": PROMPT_BUILD,
         "parse_analysis": PARSE_ANALYSIS,
-        "cache_stats": "SELECT count(*) AS entries, count(DISTINCT label) AS models, round(sum(len(embedding) * 4) / 1048576, 2) AS mb FROM embeddings",
+        "cache_stats": "SELECT count(*) AS entries, string_agg(DISTINCT 'm' || label, ',' ORDER BY 'm' || label) AS models FROM embeddings",
+        "cache_edits": CACHE_EDITS,
+        "embed_with_cache": EMBED_WITH_CACHE,
     }

@@ -1,9 +1,11 @@
 """Chunkers: source text in, table of regions out.
 
-Python files are read with the standard parser.  For other languages an outline
-scanner blanks comments and strings, finds the headers that a language's rules
-name, and the ends of their blocks by braces or keywords.  Files that a chunker
-can't read, and languages without one, get sliding windows; ``chunker_used``
+Python files are read with the standard parser, and by indentation where it
+finds an error.  For other languages an outline scanner blanks comments and
+strings, finds the headers that a language's rules name, and the ends of their
+blocks by braces or keywords, or, of bodies without either, by indentation and
+brackets.  Files that a chunker can't read, files in which the scanner finds
+nothing, and languages without a chunker get sliding windows; ``chunker_used``
 says which it was.
 """
 
@@ -67,14 +69,76 @@ class PythonChunker(Chunker):
                 else:
                     yield from walk(child, context)
 
-        return walk(ast.parse(text), "")
+        try:
+            return walk(ast.parse(text), "")
+        except (SyntaxError, ValueError):
+            found = list(self.recovered(blank(text, "python"), min_lines, max_lines))
+            if not found:
+                raise
+            return iter(found)
+
+    def recovered(self, code: str, min_lines: int, max_lines: int) -> Iterator[Region]:
+        """The same regions by headers and indentation, for a text with an error in it."""
+        outer: list[tuple[int, str, str]] = []  # last line, keyword and name of what is open
+        for m in re.finditer(r"^[ \t]*(?P<k>(?:async[ \t]+)?def|class)[ \t]+(?P<n>\w+)", code, re.M):
+            low, high = code.count("\n", 0, m.start()) + 1, code.count("\n", 0, rest_end(code, m.start("k"), m.end(), False)) + 1
+            outer = [o for o in outer if o[0] >= low]
+            context = next((f"class {n}" for _, k, n in reversed(outer) if k == "class"), "")
+            if not any(k != "class" for _, k, _ in outer):
+                if m["k"] != "class":
+                    yield Region(low, high, "method" if context else "function", m["n"], context)
+                elif min_lines <= high - low + 1 <= max_lines:
+                    yield Region(low, high, "class", m["n"], context)
+            outer.append((high, m["k"], m["n"]))
+
+
+#: What a line that goes on with an expression begins with.
+_GOES_ON = re.compile(r"[ \t]*(?:[)\]}.,?:&|+*/=<>-]|else\b|catch\b|finally\b|with\b|yield\b)")
+_CLOSES_ON = re.compile(r"[ \t]*[)\]}]")
+
+
+def rest_end(code: str, start: int, at: int, brackets: bool = True) -> int:
+    """End of what begins with a header at ``start`` that is read up to ``at`` and has no block of its own.
+
+    It goes on while a bracket is open, over lines that are further in than the
+    header's, and over lines that begin with what can't begin a statement; a
+    bracket that closes what was open before the header ends it, and so does a
+    comma or semicolon outside brackets.  Without ``brackets``, as in a text with
+    an error, indentation alone tells.
+    """
+    line = code.rfind("\n", 0, start) + 1
+    indent = len(code[line:start]) - len(code[line:start].lstrip(" \t"))
+    depth, end, i = 0, at, at
+    goes_on = _GOES_ON if brackets else _CLOSES_ON
+    while i < len(code):
+        c = code[i]
+        if not brackets and c != "\n":
+            pass
+        elif c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth < 0:
+                return end
+        elif depth == 0 and c in ",;":
+            return end
+        elif depth == 0 and c == "\n":
+            follows = re.compile(r"(?:[ \t]*\n)*([ \t]*)(?=\S)").match(code, i + 1)
+            if follows is None or (len(follows[1]) <= indent and not goes_on.match(code, follows.start(1))):
+                return end
+        if not c.isspace():
+            end = i + 1
+        i += 1
+    return end
 
 
 @dataclass(frozen=True)
 class Rule:
     """A header and what its block is.
 
-    ``pattern`` may have a group ``name``.  ``kind`` is a chunk type, with
+    ``pattern`` may have a group ``name``.  ``body`` is ``block`` (from the header
+    to the end of its block), ``brace`` (the block alone) or ``rest`` (no block:
+    what follows by indentation and brackets).  ``kind`` is a chunk type, with
     ``inner`` instead within a context; a container has ``context`` (a format of
     name and outer context) and is emitted never, ``also`` or ``else`` (whole if
     it fits, in place of its members).
@@ -86,9 +150,11 @@ class Rule:
     context: str | None = None
     emit: str = "never"
     name: str | None = None
+    body: str = "block"
 
 
 _WORDS = r"if|for|while|switch|catch|return|else|do|try|synchronized|using|lock|foreach|fixed|when|match|guard|function|new|throw|sizeof|elif|until|defer|with"
+_KOTLIN = "if|else|for|while|when|try|catch|finally|do|init|get|set|class|object|interface|companion|constructor|enum|fun"
 _TYPED = rf"(?:^|(?<=[;{{}}]))[ \t]*(?!(?:{_WORDS})\b)(?:[\w<>\[\],.?*&:@~]+[ \t*&]+)*?"
 _CALL = rf"(?P<name>(?!(?:{_WORDS})\b)~?\w+)[ \t]*\([^;{{}}]*?\)"
 _CLASS = "{kind} {name}"
@@ -103,6 +169,8 @@ _JS = [
     *_types("class"),
     Rule(r"(?P<name>[\w'\"]+)[ \t]*:[ \t]*(?:async[ \t]*)?(?:function\b[^{}]*?|\([^;{}]*?\)[ \t]*=>[ \t]*)\{", "function", "method"),
     Rule(r"\b(?:const|let|var)[ \t]+(?P<name>\w+)[^=;\n]*=[ \t]*(?:async[ \t]*)?(?:\([^;{}]*?\)|\w+)[^=;{}]*=>[ \t]*\{", "arrow_function"),
+    Rule(r"\b(?:const|let|var)[ \t]+(?P<name>\w+)[^=;\n]*=[ \t]*(?:async[ \t]*)?(?:\([^;{}]*?\)|\w+)[^=;{}]*=>(?![ \t]*\{)", "arrow_function", body="rest"),
+    Rule(r"(?P<name>[\w'\"]+)[ \t]*:[ \t]*(?:async[ \t]*)?(?:\([^;{}]*?\)|\w+)[ \t]*=>(?![ \t]*\{)", "arrow_function", body="rest"),
     Rule(r"\bfunction\b[ \t]*\*?[ \t]*(?P<name>\w*)[ \t]*\([^{}]*?\)[^;{}]*\{", "function", "method"),
     Rule(_TYPED + _CALL + r"(?:[ \t]*:[^;{}=]*)?[ \t]*\{", "method", "method"),
 ]
@@ -114,6 +182,7 @@ RULES: dict[str, list[Rule]] = {
         Rule(r"\binit[?!]?[ \t]*\([^{}]*?\)[^{};]*\{", "initializer", name="init"),
         Rule(r"\bsubscript[ \t]*\([^{}]*?\)[^{};]*\{", "function", "method", name="subscript"),
         Rule(r"\bvar[ \t]+(?P<name>\w+)[ \t]*:[^={};]*\{", "computed_property"),
+        Rule(r"\b(?:var|let)[ \t]+(?P<name>\w+)[^={};\n]*=(?!=)", "computed_property", body="rest"),
     ],
     "rust": [
         Rule(r"\bimpl\b[^{};]*?(?P<name>\w+)(?:<[^{};]*>)?[ \t\n]*(?:where[^{};]*)?\{", "impl", context="impl {name}"),
@@ -147,10 +216,16 @@ RULES: dict[str, list[Rule]] = {
         Rule(r"\bcompanion[ \t]+object\b[^;{}()]*\{", "object", context="{outer}.companion"),
         *_types("class object interface"),
         Rule(r"\bfun[ \t]+(?:<[^{}()]*>[ \t]*)?(?:[\w.<>?]+\.)?(?P<name>\w+)[ \t]*\([^{}]*?\)[^;{}=]*\{", "function", "method"),
+        Rule(r"\bfun[ \t]+(?:<[^{}()]*>[ \t]*)?(?:[\w.<>?]+\.)?(?P<name>\w+)[ \t]*\([^{}]*?\)[^;{}=\n]*=", "function", "method", body="rest"),
+        Rule(rf"(?<![\w.:])(?<!: )(?!(?:{_KOTLIN})\b)\w+[ \t]*(?:<[^<>{{}}]*>[ \t]*)?(?:\([^{{}}]*?\)[ \t]*)?\{{", "lambda", body="brace"),
+        Rule(r"=[ \t]*\{", "lambda", body="brace"),
     ],
     "scala": [
-        *_types("class object trait"),
-        Rule(r"\bdef[ \t]+(?P<name>\w+)[^{};]*\{", "function", "method"),
+        *[Rule(rf"\b{w}[ \t]+(?P<name>\w+)(?:(?!:[ \t]*$)[^;{{}}()])*(?:\((?:[^;{{}}()]|\([^;{{}}()]*\))*\))?(?:(?!:[ \t]*$)[^;{{}}()])*\{{", w, context=f"{w} {{name}}") for w in ("class", "object", "trait")],
+        *[Rule(rf"\b{w}[ \t]+(?P<name>\w+)[^{{}}\n]*:[ \t]*$", w, context=f"{w} {{name}}", body="rest") for w in ("class", "object", "trait")],
+        Rule(r"\bdef[ \t]+(?P<name>\w+)(?:[ \t]*\[[^\]{}]*\])?(?:[ \t]*\([^{}]*?\))*[^{};=(\n]*=?[ \t\n]*\{", "function", "method"),
+        Rule(r"\bdef[ \t]+(?P<name>\w+)(?:[ \t]*\[[^\]{}]*\])?(?:[ \t]*\([^{}]*?\))*[^{};=(\n]*=(?![ \t\n]*\{)", "function", "method", body="rest"),
+        *[Rule(rf"\b{w}[ \t]+(?P<name>\w+)[^{{}};=\n]*=(?![=>]|[ \t]*\{{)", w, body="rest") for w in ("val", "var")],
         Rule(r"\bval[ \t]+(?P<name>\w+)[^{};\n]*\{", "val"),
         Rule(r"\bvar[ \t]+(?P<name>\w+)[^{};\n]*\{", "var"),
     ],
@@ -163,9 +238,9 @@ RULES: dict[str, list[Rule]] = {
     ],
     "lua": [Rule(r"\blocal[ \t]+function[ \t]+(?P<name>\w+)", "local_function"), Rule(r"(?:(?P<name>[\w.:]+)[ \t]*=[ \t]*)?\bfunction\b[ \t]*(?P<other>[\w.:]*)", "function")],
 }
-_COMMENT = {"bash": r"(?<![\w$])#[^\n]*", "ruby": r"#(?!\{)[^\n]*", "php": r"//[^\n]*|#[^\n]*|/\*.*?\*/", "lua": r"--\[\[.*?\]\]|--[^\n]*"}
+_COMMENT = {"python": r"#[^\n]*", "bash": r"(?<![\w$])#[^\n]*", "ruby": r"#(?!\{)[^\n]*", "php": r"//[^\n]*|#[^\n]*|/\*.*?\*/", "lua": r"--\[\[.*?\]\]|--[^\n]*"}
 _STRING = r'"""(?:.*?)"""|"(?:\\.|[^"\\\n])*"'
-_SINGLE = {"rust": r"'(?:\\.|[^'\\\n])'", "swift": r"(?!)", "scala": r"'(?:\\.|[^'\\\n])'", "java": r"'(?:\\.|[^'\\\n])*'"}
+_SINGLE = {"python": r"'''.*?'''|'(?:\\.|[^'\\\n])*'", "rust": r"'(?:\\.|[^'\\\n])'", "swift": r"(?!)", "scala": r"'(?:\\.|[^'\\\n])'", "java": r"'(?:\\.|[^'\\\n])*'"}
 #: Keywords that open and close a block, where braces don't.
 _OPENS = {"ruby": r"(?:^[ \t]*|(?<=[=(;])[ \t]*)(?:if|unless|while|until|case|for|begin|def|class|module)\b|\bdo\b", "lua": r"\b(?:function|if|do|repeat)\b"}
 _CLOSES = {"ruby": r"\bend\b", "lua": r"\b(?:end|until)\b"}
@@ -201,6 +276,11 @@ class OutlineChunker(Chunker):
                 ends[opened.end() - 1 if opened.lastgroup == "b" else opened.start() + len(opened[0]) - len(opened[0].lstrip(" \t"))] = m.end()
         return ends
 
+    @staticmethod
+    def named(text: str, m: re.Match) -> str | None:
+        at = next((m.span(g) for g in ("name", "other") if m.groupdict().get(g)), None)
+        return at and text[slice(*at)].strip("'\"")
+
     def regions(self, text: str, min_lines: int, max_lines: int) -> Iterator[Region]:
         code = blank(text, self.language)
         ends = self.blocks(code)
@@ -208,15 +288,16 @@ class OutlineChunker(Chunker):
         for rule, pattern in self.rules:
             for m in pattern.finditer(code):
                 start = m.start() + len(m[0]) - len(m[0].lstrip())
+                if rule.body == "rest":
+                    if -m.end() not in found:
+                        found[-m.end()] = (start, rest_end(code, start, m.end()), rule, {"name": rule.name or self.named(text, m), "receiver": None, "head": m[0]})
+                    continue
                 key = m.end() - 1 if m[0].endswith("{") else next((k for k in (start, m.start("other") if "other" in m.groupdict() else -1, *range(start, m.end())) if k in ends), None)
                 if m[0].rstrip(" \t|").endswith("{"):
                     key = m.start() + m[0].rindex("{")
                 if key in ends and key not in found:
-                    groups = m.groupdict()
-                    raw = groups.get("name") or groups.get("other")
-                    at = next((m.start(g) for g in ("name", "other") if groups.get(g)), None)
-                    name = rule.name or (text[at : at + len(raw)].strip("'\"") if raw else None)
-                    found[key] = (start, ends[key], rule, {"name": name, "receiver": groups.get("receiver"), "head": m[0]})
+                    first = key if rule.body == "brace" else start
+                    found[key] = (first, ends[key], rule, {"name": rule.name or self.named(text, m), "receiver": m.groupdict().get("receiver"), "head": m[0]})
         order = sorted(found.values(), key=lambda x: (x[0], -x[1]))
         line = lambda at: text.count("\n", 0, at) + 1
         package = re.search(r"^[ \t]*(?:namespace|package)[ \t]+([\w.\\]+)[ \t]*;?[ \t]*$", code, re.M) if self.language in ("php", "scala") else None
@@ -231,7 +312,7 @@ class OutlineChunker(Chunker):
                 j += 1
             low, high = line(start), line(end - 1)
             if rule.context is None:
-                kind = (rule.inner or rule.kind) if context and not context.startswith(("namespace", "package")) or "::" in context else rule.kind
+                kind = (rule.inner or rule.kind) if context and not re.fullmatch(r"(?:namespace|package) [\w.\\]+", context) else rule.kind
                 if self.language == "java" and context.endswith(f" {facts['name']}"):
                     kind = "constructor"
                 if self.language == "csharp" and kind == "method" and context.endswith(f" {facts['name']}"):
@@ -283,6 +364,9 @@ def chunk_text(text: str, path: str, language: str | None, min_lines: int = 5, m
     except (SyntaxError, ValueError, RecursionError):
         chunker = WindowChunker()
         found = list(chunker.regions(text, min_lines, max_lines))
+    if not found and isinstance(chunker, OutlineChunker):
+        chunker = WindowChunker()
+        found = list(chunker.regions(text, min_lines, max_lines))
     out = []
     for r in found:
         n = r.end - r.start + 1

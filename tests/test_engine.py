@@ -167,3 +167,18 @@ def test_entry(spark):
     assert rows and all(r["size"] >= 2 and r["similarity"] > 0.79 for r in rows)
     queries = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(queries)
+
+
+def test_reports_have_every_cluster(spark):
+    """1,200 clusters, with whole texts for representatives and first lines for the others."""
+    from kindred import report
+
+    n = 1200
+    clusters = spark.range(1, n + 1).selectExpr("id AS cluster_id", "id AS position", "0.9D AS similarity", "2L AS size", "1L AS file_count", "4L AS total_lines", "1L AS representative")
+    members = spark.range(0, 2 * n).selectExpr("id div 2 + 1 AS cluster_id", "id % 2 AS member_idx", "concat('f', id) AS file_path", "1 AS start_line", "2 AS end_line", "'block' AS chunk_type", "cast(null AS string) AS name", "concat('first ', id, '\\nsecond') AS content")
+    analyses = clusters.selectExpr("cluster_id", "'same' AS commonality", "'x' AS suggested_name")
+    found = report.collect(clusters, members, analyses)
+    assert len(found) == n and all(c["analysis"]["commonality"] == "same" for c in found)
+    assert [m["content"] for m in found[4]["members"]] == ["first 8\nsecond", "first 9\nsecond"]  # the first member, and the representative
+    assert found[4]["representative"]["file_path"] == "f9"
+    assert len(report.collect(clusters, members, most=3)) == 3

@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from kindred.sources import chunkers
 from kindred.sources.chunkers import Chunker, Region, chunk_files, chunk_text, register_chunker
 from kindred.sources.files import scan
@@ -69,3 +71,23 @@ def test_scan(spark, tmp_path):
 def test_languages():
     assert detect_language("x/y.TSX") == "typescript" and detect_language("x") is None
     assert ".h" in extensions_for("cpp") and detect_language("a.h") == "c" and extensions_for("none") == set()
+
+
+BODIES = {
+    "kotlin": ("fun total(xs: List<Int>): Int =\n    xs\n        .map { it * 2 }\n        .sum()\n\nclass A {\n    val f by lazy {\n        one()\n        two()\n    }\n    fun g() {\n        if (x) {\n            y()\n        }\n    }\n}\n", [(1, 4, "function", "total", ""), (7, 10, "lambda", None, "class A"), (11, 15, "method", "g", "class A")]),
+    "scala": ("package p\n\nclass A(x: Int):\n  def f(y: Int): Int =\n    val z = y\n    z * 2\n\n  val t = Map(\n    1 -> 2\n  )\n\nobject B {\n  def g(a: Int = 1) = {\n    a\n  }\n}\n", [(4, 6, "method", "f", "package p.class A"), (8, 10, "val", "t", "package p.class A"), (13, 15, "method", "g", "package p.object B")]),
+    "swift": ("struct A {\n    let items = [\n        1,\n        2\n    ]\n    var n: Int {\n        let q = 1\n        return q\n    }\n}\n", [(2, 5, "computed_property", "items", "struct A"), (6, 9, "computed_property", "n", "struct A")]),
+    "javascript": ("const f = (a, b) =>\n  a.map(x => x + 1)\n    .length;\n\nconst o = {\n  m: x =>\n    x +\n    1,\n};\nconst t = async (a) => {\n  b();\n};\n", [(1, 3, "arrow_function", "f", ""), (6, 8, "arrow_function", "m", ""), (10, 12, "arrow_function", "t", "")]),
+    "python": ("class A:\n    def f(self):\n        return 1\n\n    def g(self):\n        return (1\n\ndef h(a):\n    def inner():\n        return 2\n    return inner\n\nprint 'old'\n", [(1, 6, "class", "A", ""), (2, 3, "method", "f", "class A"), (5, 6, "method", "g", "class A"), (8, 11, "function", "h", "")]),
+}
+
+
+@pytest.mark.parametrize("language", sorted(BODIES))
+def test_bodies_without_blocks_and_with_errors(language):
+    source, want = BODIES[language]
+    assert [(r[1], r[2], r[5], r[6], r[7]) for r in chunk_text(source, "f", language, 2, 100)] == want
+
+
+def test_nothing_found_gives_windows():
+    source = "use std::fmt;\n" * 12
+    assert [(r[1], r[2], r[5], r[8]) for r in chunk_text(source, "f", "rust")] == [(1, 13, "block", "WindowChunker")]
