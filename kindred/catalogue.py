@@ -389,11 +389,14 @@ def report_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(meta["cluster_count"], meta["total_duplicated_lines"])], "cluster_count long, total_duplicated_lines long")
 
 
-def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _prompted(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = _numbered(spark, sf_dir)
     members = _members(spark, sf_dir).join(numbered.select("cluster", "cluster_id"), "cluster")
-    members = members.withColumn("member_idx", F.row_number().over(Window.partitionBy("cluster_id").orderBy("doc_id")) - 1).select("cluster_id", "member_idx", "file_path", "start_line", "end_line", F.col("lang").alias("language"), F.col("text").alias("content"))
-    return analyze.prompts(members).select("cluster_id", F.sha2("prompt", 256).alias("prompt"))
+    return members.withColumn("member_idx", F.row_number().over(Window.partitionBy("cluster_id").orderBy("doc_id")) - 1).select("cluster_id", "member_idx", "file_path", "start_line", "end_line", F.col("lang").alias("language"), F.col("text").alias("content"))
+
+
+def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze.prompts(_prompted(spark, sf_dir)).select("cluster_id", F.sha2("prompt", 256).alias("prompt"))
 
 
 PROMPT_BUILD = f"""WITH {NUMBERED},
