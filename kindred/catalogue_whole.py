@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from kindred import catalogue as base
 from kindred.examples import BODIES, CASES
 from kindred.functions import text, vectors
 from kindred.operators import analyze, clusters, rerank
-from kindred.shared import shared_dir, table
+from kindred.shared import filesystem, shared_dir, table
 from kindred.sources.chunkers import chunk_files
 from kindred.sources.files import scan
 from kindred.sources.languages import language_of
@@ -65,7 +64,7 @@ TREE = [
 def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of files read back as source files."""
     root = f"{shared_dir(spark)}/query-tree-{uuid.uuid4().hex}"
-    files, path = pafs.FileSystem.from_uri(root if "://" in root else "file://" + root)
+    files, path = filesystem(root)
     for name, body, *_ in TREE:
         files.create_dir(f"{path}/{name}".rpartition("/")[0], recursive=True)
         with files.open_output_stream(f"{path}/{name}") as out:

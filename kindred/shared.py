@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and its path there; one of a scheme that Arrow doesn't know is an error."""
+    plain = re.sub(r"^file:(//)?(?=/)", "", folder)
+    return pafs.FileSystem.from_uri(plain) if "://" in plain else (pafs.LocalFileSystem(), os.path.abspath(plain))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; on a local master without one, a temporary folder is set.
 

@@ -1,11 +1,12 @@
 import os
 
 import pytest
+from pyarrow import fs as pafs
 
 from kindred.examples import BODIES, CASES
 from kindred.sources import chunkers
 from kindred.sources.chunkers import Chunker, Region, chunk_files, chunk_text, register_chunker
-from kindred.sources.files import scan
+from kindred.sources.files import TreeReader, scan
 from kindred.sources.languages import detect_language, extensions_for
 
 def test_regions_of_each_language():
@@ -49,6 +50,20 @@ def test_scan(spark, tmp_path):
     assert [r["language"] for r in scan(spark, str(tmp_path), language="kotlin").collect()] == ["kotlin"]
 
 
+def test_scan_of_uris_and_other_stores(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.py").write_bytes(b"q")
+    (tmp_path / "b.py").write_bytes(b"rr")
+    for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert sorted((r["file_path"], r["size"]) for r in scan(spark, root).collect()) == [("b.py", 2), ("x/a.py", 1)]
+    reader = TreeReader({"path": "/", "extensions": ".py", "partitionBytes": "2"})
+    reader.files, reader.root = pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem()), ""
+    parts = reader.partitions()
+    assert len(parts) == 2 and sorted(r[0] for p in parts for r in reader.read(p)) == ["b.py", "x/a.py"]
+    with pytest.raises(Exception, match="nosuch"):
+        scan(spark, "nosuch://host/folder").collect()
+
+
 def test_languages():
     assert detect_language("x/y.TSX") == "typescript" and detect_language("x") is None
     assert ".h" in extensions_for("cpp") and detect_language("a.h") == "c" and extensions_for("none") == set()
