@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred import catalogue as base
+from kindred import report
 from kindred.examples import BODIES, CASES
 from kindred.functions import text, vectors
 from kindred.operators import analyze, clusters, rerank
@@ -178,10 +179,29 @@ SELECT cluster_id, size || ' regions of ' || lang || ' in ' || files || ' shown
   CASE WHEN files > 1 THEN 'Move the shared lines into one function that all these places call.' ELSE 'The regions lie in one file, close to each other, where merging saves little.' END AS abstraction,
   CASE WHEN files > 1 THEN 'sharedUtility' ELSE 'n/a' END AS suggested_name, CASE WHEN files > 1 THEN 'low' ELSE 'n/a' END AS complexity, files > 1 AS worth_refactoring FROM g"""
 
+
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the Markdown report on groups of equal documents."""
+    lines = report.markdown_report(report.collect(*base._reported(spark, sf_dir)), "tree", 0.8).split("\n")
+    return spark.createDataFrame([(k, x) for k, x in enumerate(lines, 1)], "line_no long, line string")
+
+
+#: Lines of each cluster joined; then those of the whole report.
+REPORT_MARKDOWN = f"""WITH {base.NUMBERED},
+mem AS (SELECT cluster_id, file_path, n, text, lang, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id) AS r FROM m JOIN numbered USING (cluster)),
+places AS (SELECT cluster_id, string_agg('| `' || file_path || ':1-' || n || '` | block | - |', chr(10) ORDER BY r) AS places FROM mem GROUP BY cluster_id),
+rep AS (SELECT cluster_id, file_path AS title, coalesce(lang, '') AS lang, CASE WHEN contains(text, '```') THEN '````' ELSE '```' END AS fence, array_to_string({base.LINES}[1:20], chr(10)) || CASE WHEN n > 20 THEN chr(10) || '...' ELSE '' END AS code FROM mem WHERE r = 1),
+b AS (SELECT k.*, title, round(similarity * 100)::INT || '%' AS p, concat_ws(chr(10), '', '<a id="cluster-' || cluster_id || '"></a>', '## Cluster ' || cluster_id || ': ' || title, '',
+  'Similarity ' || round(similarity * 100)::INT || '%, ' || file_count || ' files, ' || size || ' regions, about ' || total_lines || ' lines', '', '| Place | Type | Name |', '| --- | --- | --- |', places, '', fence || lang, code, fence) AS block
+  FROM numbered k JOIN places USING (cluster_id) JOIN rep USING (cluster_id)),
+whole AS (SELECT concat_ws(chr(10), '# Similar code', '', '**Folder:** `tree`  ', '**Threshold:** 80%  ', '**Clusters:** ' || count(*) || '  ', '**Lines alike:** about ' || coalesce(sum(total_lines), 0), '', '## Contents', '',
+  string_agg('- [Cluster ' || cluster_id || ': ' || title || '](#cluster-' || cluster_id || ') (' || p || ')', chr(10) ORDER BY cluster_id), string_agg(block, chr(10) ORDER BY cluster_id)) || chr(10) AS t FROM b)
+SELECT unnest(range(1, len(string_split(t, chr(10))) + 1)) AS line_no, unnest(string_split(t, chr(10))) AS line FROM whole"""
+
 LANGUAGES = sorted(CASES)
 SQL = {
     chunk_max: CHUNK_MAX, scan_tree: _scan_sql(), path_language: PATH_LANGUAGE, vector_distance: VECTOR_DISTANCE, yes_probability: YES_PROBABILITY, score_answers: SCORE_ANSWERS,
-    rerank_stats: RERANK_STATS, rerank_whole: RERANK_WHOLE, merge_analyses: MERGE_ANALYSES, analyze_whole: ANALYZE_WHOLE,
+    rerank_stats: RERANK_STATS, rerank_whole: RERANK_WHOLE, merge_analyses: MERGE_ANALYSES, analyze_whole: ANALYZE_WHOLE, report_markdown: REPORT_MARKDOWN,
 }
 
 

@@ -82,11 +82,13 @@ class TreeSource(DataSource):
         return TreeReader(dict(self.options))
 
 
-def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, focus: list[str] | None = None, language: str | None = None, absolute_excludes: bool = False) -> DataFrame:
+def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, focus: list[str] | None = None, language: str | None = None, absolute_excludes: bool = True) -> DataFrame:
     """(file_path, language, content, size, mtime) of the source files below ``root``.
 
     Text is read as UTF-8, with bad bytes replaced and line ends as ``\\n``.
-    ``absolute_excludes`` holds exclusions against the absolute path too.
+    Exclusions are held against the relative path and, with
+    ``absolute_excludes``, the absolute one, so that a tree below a folder of
+    an excluded name has no files.
     """
     wanted = extensions_for(language)
     spark.dataSource.register(TreeSource)

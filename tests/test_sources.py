@@ -50,6 +50,14 @@ def test_scan(spark, tmp_path):
     assert [r["language"] for r in scan(spark, str(tmp_path), language="kotlin").collect()] == ["kotlin"]
 
 
+def test_excluded_folder_above(spark, tmp_path):
+    root = tmp_path / "node_modules" / "p"
+    root.mkdir(parents=True)
+    (root / "a.py").write_bytes(b"q")
+    assert scan(spark, str(root)).count() == 0 and scan(spark, str(root), absolute_excludes=False).count() == 1
+    assert scan(spark, str(root), absolute_excludes=False, exclude=[f"{tmp_path}/*"]).count() == 1
+
+
 def test_scan_of_uris_and_other_stores(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "a.py").write_bytes(b"q")
