@@ -126,6 +126,26 @@ def test_equal_vectors_and_large_components(spark):
     assert [(r["cluster"], r["count"]) for r in got] == [(0, 20_001)]
 
 
+@pytest.mark.parametrize("one_task", [1, 25])
+def test_linkage_in_rounds(spark, one_task):
+    """Components beyond one task, over many blocks, give the clusters of linkage over all rows."""
+    x = np.concatenate([data(90, 5), data(90, 5)[:20]]).astype(np.float32).astype(float)
+    for t in (0.3, 0.7):
+        rows = cluster_vectors(vectors(spark, x), shared_dir(spark), t, matrix=8, one_task=one_task, block=16).collect()
+        got: dict = {}
+        for r in rows:
+            got.setdefault(r["cluster"], set()).add(r["key"])
+        assert {frozenset(g) for g in got.values()} == {g for g in parts(average_linkage(x, t)) if len(g) > 1}
+        assert all(k == min(g) for k, g in got.items())
+
+
+def test_linkage_in_rounds_with_ties(spark):
+    """A grid of equal similarities: every round merges something, and each vector is in one cluster."""
+    x = np.array([[1.0 if j in (i, (i + 1) % 12) else 0.0 for j in range(12)] for i in range(12)])
+    rows = cluster_vectors(vectors(spark, x), shared_dir(spark), 0.2, one_task=1, block=4).collect()
+    assert len(rows) == len({r["key"] for r in rows}) and {len(g) for g in parts(average_linkage(x, 0.2))} <= {2, 3, 4}
+
+
 def test_facts(spark):
     x = data(30)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
