@@ -1,7 +1,8 @@
 """Command line: find similar code below a folder.
 
 Exit codes: 0 for a finished run, one without clusters, and status commands; 1
-for a missing folder, no chunks, or a report file of unknown kind.
+for a missing folder, no chunks, a report file of unknown kind, or a model that
+can't be fetched.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config-section", default=SECTION)
     p.add_argument("--clear-cache", action="store_true")
     p.add_argument("--model-status", action="store_true")
+    p.add_argument("--fetch-models", nargs="*", choices=backends.PURPOSES, help="get the files that backends miss, of all purposes if none is named")
     p.add_argument("--show-state", action="store_true")
     p.add_argument("--clear-state", action="store_true")
     p.add_argument("--version", action="version", version=__version__)
@@ -53,6 +55,11 @@ def main(args: list[str] | None = None, spark=None, out=print) -> int:
     if a.model_status:
         out(backends.status())
         return 0
+    if a.fetch_models is not None:
+        got = backends.ensure(tuple(a.fetch_models) or backends.PURPOSES)
+        for name, place in got.items():
+            out(f"{name}: {place or 'failed'}")
+        return int(None in got.values())
     root = Path(a.path or ".")
     if a.path is not None and not root.is_dir():
         out(f"{root} is not a folder")
@@ -102,9 +109,12 @@ def analyse(root: Path, config: RunConfig, kind: str, chosen: dict, spark, out)
         if not config.quiet:
             print(f"[{i}/{n}] {stage}", file=sys.stderr)
 
+    def items(done: int, total: int, stage: str) -> None:
+        print(f"  {stage}: {done:,} of {total:,}", file=sys.stderr)
+
     cache = VectorCache(spark, (root / state.FOLDER / "vectors").resolve().as_uri())
     try:
-        result = run(spark, project, config, cache=cache, known=known, progress=progress, **chosen)
+        result = run(spark, project, config, cache=cache, known=known, progress=progress, on_items=None if config.quiet else items, **chosen)
     except Exception as e:
         now.last_error = str(e)
         state.save_state(root, now)

@@ -1,4 +1,6 @@
 import json
+import os
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -121,6 +123,7 @@ def test_backends(tmp_path):
         assert [b.name for b in backends.missing()] == ["filed"] and "needs" in backends.status()
         with pytest.raises(FileNotFoundError):
             backends.get("llm", "filed")
+        assert backends.get("llm", "filed:/other") == "/other"
         (tmp_path / "model").write_text("x")
         assert backends.get("llm", "filed") == str(tmp_path / "model") and backends.get("llm", "filed:/other") == "/other"
     finally:
@@ -182,3 +185,32 @@ def test_reports_have_every_cluster(spark):
     assert [m["content"] for m in found[4]["members"]] == ["first 8\nsecond", "first 9\nsecond"]  # the first member, and the representative
     assert found[4]["representative"]["file_path"] == "f9"
     assert len(report.collect(clusters, members, most=3)) == 3
+
+
+def test_model_files(tmp_path, monkeypatch):
+    """An explicit path comes first, then fetched files, then further folders; a fetch needs a source."""
+    monkeypatch.setattr(backends, "home", tmp_path / "home")
+    monkeypatch.setattr(backends, "folders", [tmp_path / "other"])
+    (tmp_path / "far").write_text("far")
+    b = backends.Backend("llm", "filed", lambda path: path, "m.bin", (tmp_path / "far").as_uri())
+    unknown = backends.Backend("reranker", "lost", lambda path: path, "l.bin")
+    monkeypatch.setattr(backends, "_known", {("llm", "filed"): b, ("reranker", "lost"): unknown})
+    assert b.find() is None and not b.available and backends.missing(("llm",)) == [b]
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "m.bin").write_text("dev")
+    assert backends.get("llm", "filed") == str(tmp_path / "other" / "m.bin")
+    said = []
+    assert cli.main(["--fetch-models", "reranker"], None, said.append) == 1 and said == ["lost: failed"]
+    assert backends.fetch(b) == str(tmp_path / "home" / "m.bin") == b.find()
+    assert Path(b.find()).read_text() == "far" and os.listdir(tmp_path / "home") == ["m.bin"]
+    assert b.find(str(tmp_path / "far")) == str(tmp_path / "far")
+    assert backends.ensure(("llm",)) == {} and cli.main(["--fetch-models", "llm"], None, said.append) == 0
+
+
+def test_items_are_counted(spark, tmp_path):
+    for i in range(4):
+        (tmp_path / f"f{i}.py").write_text("def same(a, b):\n    total = a + b\n    total = total * 2\n    print(total)\n    return total\n")
+    seen = []
+    engine.run(spark, str(tmp_path), config.RunConfig(analyze=True, rerank=True), on_items=lambda *x: seen.append(x))
+    assert (4, 4, "embedding") in seen and (4, 4, "reranking") in seen and (1, 1, "analyzing") in seen
+    assert all(done <= total for done, total, _ in seen)

@@ -184,8 +184,9 @@ def test_ranking(spark):
     assert order("nothing") == [1, 2, 3, 4] == order("unknown", None)
 
 
-def test_numbering(spark):
+@pytest.mark.parametrize("one_task", [200_000, 10])
+def test_numbering(spark, one_task):
     rows = spark.createDataFrame([(i * 37 % 501, i) for i in range(501)], "a int, b int").repartition(7)
-    got = number_rows(rows, [F.desc("a"), F.asc("b")], "n").collect()
+    got = number_rows(rows, [F.desc("a"), F.asc("b")], "n", one_task).collect()
     assert [(r["n"], r["a"]) for r in sorted(got, key=lambda r: r["n"])] == [(k + 1, 500 - k) for k in range(501)]
-    assert number_rows(rows.filter("false"), [F.asc("a")], "n").count() == 0
+    assert number_rows(rows.filter("false"), [F.asc("a")], "n", one_task).count() == 0
