@@ -479,12 +479,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     embedded = embed.embed(docs.select(F.col("doc_id").alias("key"), F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.size(text.lines(F.col("text"))).alias("end_line"), text.embedding_text(F.col("lang"), F.lit("block"), F.lit(None).cast("string"), F.col("text")).alias("embed_text")), "embed_text")
     vecs = written(embedded, "flagship-vectors")
-    members = similarity.cluster_vectors(vecs, shared_dir(spark), 0.80).join(vecs, "key")
-    members = members.withColumn("member_idx", F.row_number().over(Window.partitionBy("cluster").orderBy("key")).cast("long") - 1)
-    members = written(members, "flagship-members")
-    facts = clusters.cluster_stats(members, "cluster").join(clusters.mean_similarity(members, "cluster").drop("n"), "cluster")
-    facts = facts.join(clusters.medoids(members, "cluster").select("cluster", F.col("member_idx").alias("representative")), "cluster")
-    return clusters.renumber(facts.withColumn("first_member", F.col("cluster"))).select("cluster_id", F.round("similarity", 4).alias("similarity"), "size", "file_count", "total_lines", "representative", "first_member")
+    found, _ = engine.cluster_chunks(vecs, 0.80)
+    return found.select("cluster_id", F.round("similarity", 4).alias("similarity"), "size", "file_count", "total_lines", "representative", "first_member")
 
 
 RANKS = [_ranked(s) for s in clusters.SORTS]
