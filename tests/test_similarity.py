@@ -58,6 +58,8 @@ def test_pairs_in_blocks(spark):
         rows = similar_pairs(vectors(spark, x), 0.6, block=block).collect()
         assert len(rows) == len(want)
         assert all(abs(want[r["a"], r["b"]] - r["similarity"]) < 1e-9 for r in rows)
+        tree = [(r["a"], r["b"]) for r in similar_pairs(vectors(spark, x), 0.6, block=block, spanning=True).collect()]
+        assert components(tree) == components(want) and (block == 17 or len(tree) < len(components(want)))
     extra = spark.createDataFrame([(900, None), (901, [0.0] * 16)], "key long, embedding array<float>")
     assert similar_pairs(vectors(spark, x).unionByName(extra), 0.6).count() == len(want)
 
