@@ -7,12 +7,13 @@ is longer than the bound is worked through alone.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from kindred.shared import trim
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -62,15 +63,6 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def trim() -> None:
-    """Gives memory that a worker no longer uses back to the system: workers wait between tasks with what they hold."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 512 << 10) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of at most ``most`` bytes of text (one row at least), with bytes and offsets; at the end, ``trim``."""
     for batch in batches:

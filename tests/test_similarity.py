@@ -3,7 +3,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from kindred.operators import clusters
+from kindred.operators import clusters, similarity
 from kindred.operators.components import connected_components, forest
 from kindred.operators.numbering import number_rows
 from kindred.operators.similarity import average_linkage, chain_linkage, cluster_vectors, similar_pairs
@@ -112,6 +112,32 @@ def test_chain_linkage():
             assert chain_linkage(x, t, weight).tolist() == average_linkage(x, t, weight).tolist()
 
 
+@pytest.mark.parametrize("dtype", [np.float32, np.float64])
+def test_linkage_from_short_lists(monkeypatch, dtype):
+    """Lists that run out and bounds in place of the rest, equal vectors up to a factor among them."""
+    monkeypatch.setattr(similarity, "LISTED", 3)
+    monkeypatch.setattr(similarity, "SEARCH", 7)
+    for seed in range(4):
+        x = data(300, seed).astype(dtype)
+        x[:20] = x[0] * np.arange(1, 21)[:, None]
+        weight = np.random.default_rng(seed).integers(1, 4, len(x))
+        for t in (0.3, 0.6, 0.8):
+            assert parts(chain_linkage(x, t, weight)) == parts(average_linkage(x.astype(float), t, weight))
+
+
+def test_spanning_pairs_without_copies_of_vectors(spark):
+    """Rows don't grow with the number of blocks; blocks are read, not dealt once for each other block."""
+    x = np.abs(data(300)) + 1
+    df = vectors(spark, x)
+    for block in (10, 7):
+        pairs = similar_pairs(df, 0.5, block=block, spanning=True)
+        assert "Generate" not in pairs._jdf.queryExecution().toString()
+        rows = [(r["a"], r["b"]) for r in pairs.collect()]
+        assert len(rows) < 2 * len(x)
+        want = components([(r["a"], r["b"]) for r in similar_pairs(df, 0.5).collect()])
+        assert components(rows) == want and len(want) > 250
+
+
 def test_equal_vectors_and_large_components(spark):
     """20,001 copies of one vector are one point; large components need no matrix; the members are those of linkage over all rows."""
     x = data(60).astype(np.float32).astype(float)
