@@ -6,7 +6,7 @@ sets recursively: a node picks the signature coordinates it splits on by its
 own hash, 1/threshold of them on average, and sends each set to the child named
 by its value there.  A bucket of few sets is compared whole.  A bucket whose
 sets are alike on average wouldn't get smaller and is compared whole too, in
-blocks.  A pair above the threshold has one surviving branch or more at every
+blocks.  A bucket that one task can hold is split to the end there.  A pair above the threshold has one surviving branch or more at every
 level on average; ``survival`` is the probability that a run still has it at a
 depth, and ``runs_for`` the number of runs after which it has been missed with
 a probability of 1 - recall at most.  All sets get the runs that buckets of
@@ -29,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
@@ -45,6 +46,8 @@ PARTS = {"lows": (0, np.uint8), "mids": (8, np.uint8), "tops": (16, np.uint16)}
 _FACTORS = mix(np.arange(1, SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Sets up to which a bucket is compared whole, sets in a block of the signature and of the exact comparison.
 SMALL, BLOCK, EXACT_BLOCK = 48, 1024, 512
+#: Blocks of sets up to which one task splits a bucket to the end.
+IN_TASK = 4
 #: Share of equal pairs on the next coordinate from which a bucket counts as alike.
 ALIKE = 0.5
 DEPTH = 12
@@ -176,38 +179,90 @@ def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
 
-def _compare_small(least: float):
-    """Compares rows of one path, which follow each other; a path that goes on in the next batch is kept for it."""
+def _small_pairs(path: np.ndarray, ids: np.ndarray, sig: np.ndarray, least: float) -> tuple[list, list]:
+    """Pairs of similar sets within each path; rows of a path follow each other."""
+    a, b = [], []
+    k = 1
+    while k < len(path) and (at := np.flatnonzero(path[k:] == path[:-k])).size:
+        for low in range(0, len(at), 20_000):
+            i = at[low : low + 20_000]
+            near = i[(sig[i] == sig[i + k]).mean(1) >= least]
+            a.append(ids[near])
+            b.append(ids[near + k])
+        k += 1
+    return a, b
 
-    def pairs(path, ids, sig):
-        a, b = [], []
-        k = 1
-        while k < len(path) and (at := np.flatnonzero(path[k:] == path[:-k])).size:
-            for low in range(0, len(at), 20_000):
-                i = at[low : low + 20_000]
-                near = i[(sig[i] == sig[i + k]).mean(1) >= least]
-                a.append(ids[near])
-                b.append(ids[near + k])
-            k += 1
-        return _edges(a, b)
+
+def _by_path(work):
+    """Calls ``work`` with batches that hold whole paths; rows of one path follow each other, and one that goes on in the next batch is kept for it."""
 
     def run(batches):
         kept = None
         for batch in batches:
-            path, ids, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
+            path = batch.column(0).to_numpy()
             if kept is not None:
-                path, ids, sig = np.concatenate([kept[0], path]), np.concatenate([kept[1], ids]), np.concatenate([kept[2], sig])
-            cut = np.searchsorted(path, path[-1])
-            kept = path[cut:], ids[cut:], sig[cut:]
+                whole = pa.Table.from_batches([kept, batch]).combine_chunks()
+                batch, path = whole.to_batches()[0], whole["path"].to_numpy()
+            cut = int(np.searchsorted(path, path[-1]))
+            kept = batch.slice(cut)
             if cut:
-                yield pairs(path[:cut], ids[:cut], sig[:cut])
+                yield work(batch.slice(0, cut))
         if kept is not None:
-            yield pairs(*kept)
+            yield work(kept)
         trim()
 
     return run
 
 
+def _descend(start: int, threshold: float, least: float, small: int, shallow: int):
+    """Splits buckets of depth ``start`` as ``_nominate`` does, down to those that are compared whole.
+
+    Edges (a, b), and (set, null, depth) for sets that were in buckets split at
+    depth ``shallow``.  Column mids may be null in buckets of ``small`` sets or fewer.
+    """
+
+    def work(batch):
+        ids, low = batch.column(1).to_numpy(), _matrix(batch.column(2))
+        sig = _values([batch.column(2), pc.fill_null(batch.column(3), bytes(SIZE))])
+        path, row = batch.column(0).to_numpy().view(np.uint64), np.arange(batch.num_rows)
+        a, b, deep = [], [], {}
+        for level in range(start, DEPTH):
+            order = np.argsort(path, kind="stable")
+            path, row = path[order], row[order]
+            _, group, n = np.unique(path, return_inverse=True, return_counts=True)
+            few = (n > 1) & (n <= small)
+            own = few[group]
+            for all_, more in zip((a, b), _small_pairs(path[own], ids[row[own]], low[row[own]], least), strict=True):
+                all_ += more
+            large = (n > small)[group]
+            path, row, group = path[large], row[large], group[large]
+            if not len(path):
+                break
+            at, child, which = children(path, sig[row], threshold)
+            first = which == 0
+            _, one, c = np.unique(child[first], return_index=True, return_counts=True)
+            alike = np.bincount(group[at[first][one]], c.astype(float) ** 2, len(n)) / np.maximum(n, 1).astype(float) ** 2
+            whole = (alike >= ALIKE) | (level == DEPTH - 1)
+            held = whole[group]
+            for g in np.unique(group[held]):
+                rows = row[group == g]
+                for k in range(len(rows) - 1):
+                    near = rows[k + 1 :][(low[rows[k + 1 :]] == low[rows[k]]).mean(1) >= least]
+                    a.append(np.full(len(near), ids[rows[k]]))
+                    b.append(ids[near])
+            on = ~held[at]
+            path, row = child[on], row[at[on]]
+            if level + 1 >= shallow:
+                deep |= dict.fromkeys(ids[row].tolist(), level + 1)
+        x, y = forest(np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+        more, depth = np.array([*deep], np.int64), np.array([*deep.values()], np.int64)
+        missing = np.repeat([False, True], [len(x), len(more)])
+        columns = [np.concatenate([x, more]), pa.array(np.concatenate([y, more]), mask=missing), pa.array(np.concatenate([x, depth]), mask=~missing)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), *columns[1:]], ["a", "b", "depth"])
+
+    return _by_path(work)
+
+
 def _compare_blocks(least: float):
     """All pairs of the two blocks of a group, by signature."""
 
@@ -238,7 +293,7 @@ def _blocked(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
 
 
 def nominate(sets: DataFrame, threshold: float, recall: float) -> list[DataFrame]:
-    """Written edges (a, b) among ``sets`` (set_id and PARTS) that connect every pair which a run found."""
+    """Written edges (a, b) among ``sets`` (set_id and PARTS) that connect every pair which a run found; rows without b are none."""
     found, done, need, own = [], 0, runs_for(SHALLOW, threshold, recall), None
     while done < need:
         edges, deep, depth = _nominate(sets, range(done, need), threshold)
@@ -261,7 +316,7 @@ def _nominate(sets: DataFrame, runs: range, threshold: float) -> tuple[list[Data
     """
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / SIZE)
     nodes, before = sets.mapInArrow(_roots(runs, threshold), "path long, set_id long"), []
-    found, deep, kept = [], None, None
+    found, deep, kept, most = [], [], None, IN_TASK * BLOCK
     for level in range(DEPTH):
         sizes = written(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path-sizes")
         wanted = None
@@ -276,30 +331,44 @@ def _nominate(sets: DataFrame, runs: range, threshold: float) -> tuple[list[Data
         hashed = [F.bit_xor(F.xxhash64("set_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
         few = paths.filter(F.col("n") <= SMALL)
         once = written(few.groupBy("path", "n").agg(*hashed).groupBy("n", "x1", "x2").agg(F.min("path").alias("path")).select("path"), "paths-once")
-        small = few.join(once, "path", "left_semi").join(sets.select("set_id", "lows"), "set_id").select("path", "set_id", "lows")
-        edges = small.repartition("path").sortWithinPartitions("path").mapInArrow(_compare_small(least), "a long, b long")
-        if not sizes.filter(F.col("n") > SMALL).limit(1).count():
+        # Buckets that a task can hold are split to the end there, others level by level.
+        middle = paths.filter((F.col("n") > SMALL) & (F.col("n") <= most)).unionByName(few.join(once, "path", "left_semi"))
+        middle = middle.join(sets, "set_id").select("path", "set_id", "lows", F.when(F.col("n") > SMALL, F.col("mids")).alias("mids"))
+        edges = middle.repartition("path").sortWithinPartitions("path").mapInArrow(_descend(level, threshold, least, SMALL, SHALLOW), "a long, b long, depth long")
+        if not sizes.filter(F.col("n") > most).limit(1).count():
             found.append(written(edges, "edges"))
             drop(*before, sizes, paths, once)
             break
-        large = written(paths.filter(F.col("n") > SMALL).join(sets, "set_id").select("path", "set_id", "n", "lows", "mids"), "large-paths")
-        split = large.select("path", "set_id", "lows", "mids").mapInArrow(_split(threshold), "path long, child long, set_id long, which long")
+        large = written(paths.filter(F.col("n") > most).join(sets, "set_id").select("path", "set_id", "n", "lows", "mids"), "large-paths")
+        split = written(large.select("path", "set_id", "lows", "mids").mapInArrow(_split(threshold), "path long, child long, set_id long, which long"), "split-paths")
         shares = split.filter("which = 0").groupBy("path", "child").agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg((F.sum(F.col("c") * F.col("c")) / F.pow(F.sum("c"), 2)).alias("alike"))
         shares = written(shares.withColumn("whole", (F.col("alike") >= ALIKE) | F.lit(level == DEPTH - 1)).select("path", "whole"), "path-shares")
         whole = large.join(shares.filter("whole"), "path").select("path", "set_id", "n", "lows")
         blocks = _blocked(whole, "path", "n", BLOCK).groupBy("path", "i", "j").applyInArrow(_compare_blocks(least), "a long, b long")
-        found.append(written(edges.unionByName(blocks), "edges"))
+        found.append(written(edges.unionByName(blocks.withColumn("depth", F.lit(None).cast("long"))), "edges"))
         more = shares.filter("not whole").limit(1).count()
         if more:
             nodes = written(split.join(shares.filter("not whole"), "path").select(F.col("child").alias("path"), "set_id"), "child-paths")
             if level == SHALLOW - 1:
-                deep = written(nodes.select("set_id").distinct(), "deep-ids")
-        drop(*before, sizes, paths, once, large, shares)
+                deep.append(written(nodes.select("set_id").distinct(), "deep-ids"))
+        drop(*before, sizes, paths, once, large, split, shares)
         before = [nodes]
         if not more:
             break
     drop(kept)
-    return found, deep, level + 1
+    below = found[0]
+    for table in found[1:]:
+        below = below.unionByName(table)
+    below = below.filter("depth is not null")
+    depth = max(level, below.agg(F.max("depth")).first()[0] or 0) + 1
+    if depth <= SHALLOW:
+        return found, None, depth
+    ids = below.select(F.col("a").alias("set_id"))
+    for table in deep:
+        ids = ids.unionByName(table)
+    out = written(ids.distinct(), "deep-ids")
+    drop(*deep)
+    return found, out, depth
 
 
 def _verify(threshold: float):
@@ -375,6 +444,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = edges[0]
     for more in edges[1:]:
         found = found.unionByName(more)
+    found = found.select("a", "b").dropna()
     near = connected_components(found, fresh(spark, "nominees"))
     near = written(near.select(F.col("node").alias("set_id"), "component"), "nominees")
     drop(*edges)

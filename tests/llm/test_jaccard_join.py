@@ -166,3 +166,27 @@ def test_recall_in_deep_buckets(spark):
     links = sum(n for *_, n in want)
     assert links > 100 and sum(n for *_, n in got) >= 0.99 * links
     assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.99 * len(want)
+
+
+def test_buckets_of_one_task_need_no_levels(spark, monkeypatch):
+    """A bucket that a task can hold is split there, to the same edges and depth as level by level."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    passage = [rng.choice(words) for _ in range(60)]
+    texts = [" ".join(passage + [rng.choice(words) for _ in range(60)]) for _ in range(150)]
+    texts += [" ".join(t.split()[:-1]) for t in texts[::3]]
+    drawn = J.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 5)
+    sets = J.written(drawn.select("set_id", *J.PARTS), "test-sets")
+    monkeypatch.setattr(J, "SMALL", 4)
+    monkeypatch.setattr(J, "SHALLOW", 1)
+    found = {}
+    for blocks in (0, 4):
+        monkeypatch.setattr(J, "IN_TASK", blocks)
+        edges, deep, depth = J._nominate(sets, range(3), 0.8)
+        pairs = set()
+        for e in edges:
+            pairs |= {frozenset((r["a"], r["b"])) for r in e.filter("b is not null").collect()}
+        a, b = (np.array([sorted(p)[k] for p in pairs]) for k in (0, 1))
+        found[blocks] = (dict(zip(*map(np.ndarray.tolist, J.forest(a, b)), strict=True)), sorted(r[0] for r in deep.collect()), depth)
+        assert blocks == 0 or len(edges) == 1
+    assert found[0] == found[4] and found[4][2] >= 3 and len(found[4][0]) >= 45
