@@ -25,6 +25,7 @@ SOLID = np.zeros(256, bool)
 SOLID[48:58] = SOLID[65:91] = SOLID[97:123] = True
 SOLID[128:] = True
 
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WINDOW = np.uint64(0xD6E8FEB86659FD93)
 _powers = np.ones(1, np.uint64)
@@ -215,12 +216,7 @@ class SliceCache:
         if not len(cuts):
             return self.ids[:0], first, length
         span = np.diff(np.append(cuts, len(data)))
-        offset = np.arange(len(data)) - np.repeat(cuts, span)
-        key = mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers(int(span.max()))[offset], cuts))
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        head = span.astype(np.uint64) << np.uint64(56)
-        for j in range(7):
-            head |= np.where(span > j, padded[cuts + j], 0).astype(np.uint64) << np.uint64(8 * j)
+        key, head = self.hashes(data, cuts, span)
         raw = data.tobytes()
         slices = lambda which: [raw[a : a + b] for a, b in zip(cuts[which].tolist(), span[which].tolist(), strict=True)]
         short = span <= self.LONGEST
@@ -243,6 +239,23 @@ class SliceCache:
             store = np.concatenate([store, ids])
         return store, first, length
 
+    def hashes(self, data: np.ndarray, cuts: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each slice up to LONGEST bytes, eight bytes at a time; its length and first seven bytes."""
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        full = span >= 8
+        word = eight[cuts] & np.where(full, _ALL, (np.uint64(1) << (8 * np.minimum(span, 7)).astype(np.uint64)) - np.uint64(1))
+        head = word & (_ALL >> np.uint64(8)) | span.astype(np.uint64) << np.uint64(56)
+        key = mix(word + span.astype(np.uint64) * _ODD)
+        for at in range(8, self.LONGEST, 8):
+            left = np.flatnonzero((span > at) & (span <= self.LONGEST)) if at == 8 else left[span[left] > at]
+            if not len(left):
+                break
+            rest = span[left] - at
+            word = eight[cuts[left] + at] & np.where(rest >= 8, _ALL, (np.uint64(1) << (8 * np.minimum(rest, 7)).astype(np.uint64)) - np.uint64(1))
+            key[left] = mix(key[left] * _ODD + word)
+        return key, head
+
     def find(self, key: np.ndarray, head: np.ndarray) -> np.ndarray:
         """Entry of each slice, -1 where there is none."""
         out = np.full(len(key), -1, np.int64)

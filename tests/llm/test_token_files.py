@@ -10,6 +10,7 @@ from pyarrow import fs as pafs
 from tokenizers import Tokenizer
 
 from kindred.llm import kernels, token_files
+from kindred.llm.kernels import SliceCache
 from kindred.llm.runtime import fresh
 from tests.llm.cases import awkward, none
 
@@ -105,3 +106,24 @@ def test_ranges_of_stored_files(spark, monkeypatch):
     assert sorted(got, key=str) == want
     longest = max(2 * n for _, _, n, _ in want)
     assert max(read) <= max(longest, 8 * 3, 2 * 50)
+
+
+def test_hashes_of_slices():
+    """Equal slices have equal hashes wherever they stand; others differ, whatever follows them; no work for each byte."""
+    rng = np.random.default_rng(3)
+    whole = rng.integers(1, 255, 64).astype(np.uint8)
+    slices = [whole[:n] for n in range(1, 65)]
+    for n in (1, 7, 8, 9, 16, 33, 64):
+        for k in range(n):
+            other = whole[:n].copy()
+            other[k] ^= 1
+            slices.append(other)
+    slices += [np.append(whole[:n], np.uint8(0)) for n in (3, 8, 15, 63)]
+    cache = SliceCache(np.dtype("<u4"), 100)
+    seen = []
+    for order in (np.arange(len(slices)), rng.permutation(len(slices))):
+        span = np.array([len(slices[i]) for i in order])
+        key, head = cache.hashes(np.concatenate([slices[i] for i in order]), np.cumsum(span) - span, span)
+        seen.append(dict(zip(order.tolist(), zip(key.tolist(), head.tolist(), strict=True), strict=True)))
+        assert all(h >> 56 == len(slices[i]) and h & 255 == slices[i][0] for i, (_, h) in seen[-1].items())
+    assert seen[0] == seen[1] and len({k for k, _ in seen[0].values()}) == len({s.tobytes() for s in slices})
