@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from kindred.operators import clusters, similarity
 from kindred.operators.components import connected_components, forest
 from kindred.operators.numbering import number_rows
-from kindred.operators.similarity import average_linkage, chain_linkage, cluster_vectors, similar_pairs
+from kindred.operators.similarity import average_linkage, chain_linkage, cluster_vectors, clustered, similar_pairs, vector_facts
+from kindred.plans.engine import cluster_chunks
 from kindred.shared import shared_dir
 
 
@@ -174,6 +175,45 @@ def test_linkage_in_rounds_with_ties(spark):
     assert len(rows) == len({r["key"] for r in rows}) and {len(g) for g in parts(average_linkage(x, 0.2))} <= {2, 3, 4}
 
 
+def shuffled(spark):
+    """Bytes that shuffles have written in this session."""
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+def test_vectors_are_not_shuffled(spark):
+    """Clusters and their facts, by one task and in rounds, with less than half of the vectors' bytes through shuffles."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(100, 1000)) + rng.normal(size=1000)
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.1]).astype(np.float32).astype(float)
+    df = vectors(spark, x).selectExpr("key", "'f' file_path", "1 start_line", "2 end_line", "embedding").cache()
+    df.count()
+    begun = shuffled(spark)
+    assert cluster_chunks(df, 0.8)[0].count() == 100
+    rows = cluster_vectors(df, shared_dir(spark), 0.3, one_task=120, block=32).collect()
+    assert shuffled(spark) - begun < x.size * 4 / 2
+    got: dict = {}
+    for r in rows:
+        got.setdefault(r["cluster"], set()).add(r["key"])
+    assert {frozenset(g) for g in got.values()} == {g for g in parts(average_linkage(x, 0.3)) if len(g) > 1}
+    df.unpersist()
+
+
+@pytest.mark.parametrize("one_task", [65_536, 7])
+def test_facts_of_distinct_vectors(spark, one_task):
+    """Those of all members, copies counted."""
+    x = data(120, 2).astype(np.float32).astype(float)
+    df = vectors(spark, np.concatenate([x, x[:30], x[:5], x[:5]]))
+    found, points, blocks = clustered(df, shared_dir(spark), 0.6, block=32)
+    members = found.select("cluster", "key").join(df, "key").selectExpr("cluster", "key AS member_idx", "embedding")
+    want = {r["cluster"]: r["similarity"] for r in clusters.mean_similarity(members, "cluster").collect()}
+    near = {r["cluster"]: r["member_idx"] for r in clusters.medoids(members, "cluster").collect()}
+    got = {r["cluster"]: r for r in vector_facts(points, blocks, one_task, 5).collect()}
+    blocks.delete()
+    assert got.keys() == want.keys() and max(found.groupBy("cluster").count().toPandas()["count"]) > 7
+    assert all(abs(got[k]["similarity"] - want[k]) < 1e-9 and got[k]["medoid"] == near[k] for k in want)
+
+
 def test_facts(spark):
     x = data(30)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
